@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import struct
 import tempfile
 import uuid
 from itertools import chain
 
 import numpy as np
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.array(
@@ -101,3 +104,54 @@ def shingle_hashes(flat: np.ndarray, ends: np.ndarray, k: int) -> list[np.ndarra
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed value; small integers are split in byte planes, hashes are not."""
+    head, body = struct.pack("<B", len(arrays)), []
+    for a in arrays:
+        planes = a.dtype.itemsize if a.dtype.kind in "iu" and a.dtype.itemsize < 8 else 1
+        head += struct.pack("<2sBQ", a.dtype.str[1:].encode(), planes, len(a))
+        raw = np.ascontiguousarray(a)
+        body.append(raw.view(np.uint8).reshape(-1, planes).T.tobytes() if planes > 1 else raw.tobytes())
+    return head + zstandard.ZstdCompressor(level=3).compress(b"".join(body))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    (n,), at = struct.unpack_from("<B", data), 1
+    heads = []
+    for _ in range(n):
+        heads.append(struct.unpack_from("<2sBQ", data, at))
+        at += struct.calcsize("<2sBQ")
+    body = zstandard.ZstdDecompressor().decompress(data[at:])
+    out, at = [], 0
+    for kind, planes, length in heads:
+        t = np.dtype("<" + kind.decode())
+        raw = np.frombuffer(body, np.uint8, length * t.itemsize, at)
+        out.append(np.ascontiguousarray(raw.reshape(planes, -1).T).view(t).ravel() if planes > 1 else raw.view(t) if at % 8 == 0 else np.frombuffer(raw.tobytes(), t))
+        at += length * t.itemsize
+    return out
+
+
+def starts(*sorted_arrays: np.ndarray) -> np.ndarray:
+    """Where a new combination of the (together sorted) arrays starts."""
+    n = len(sorted_arrays[0])
+    new = np.ones(n, dtype=bool)
+    if n:
+        new[1:] = False
+        for a in sorted_arrays:
+            new[1:] |= a[1:] != a[:-1]
+    return np.flatnonzero(new)
+
+
+def lengths(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
+
+
+#: Bytes that may be broadcast; anything larger is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, to be broadcast if its rows, counted, have at most BROADCAST_BYTES; df should be stored or cheap."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, id_files, importance, jaccard_join, packing, pii, quality, substring_dedup, url_filter
+from . import decontaminate, id_files, importance, jaccard_join, katz, packing, pii, quality, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_lower, hash_words, rolling, split_words, stored
+from .common import WordHashes, ascii_lower, hash_words, rolling, small_side, split_words, stored
 
 K = 8
 WINDOW = 16
@@ -32,8 +32,6 @@ MIN_WORDS = 50
 IDENTITY = 0.8
 #: Words fetched on either side of a chain, for its ends.
 MARGIN = 48
-#: Bytes of requests that are broadcast to the documents; more are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
 SALTS = 256
 _BATCH_WORDS = 1 << 20
 
@@ -240,9 +238,7 @@ def _slices(docs: DataFrame, table: DataFrame) -> DataFrame:
     side0 = table.select(F.col("doc").alias("d"), "id", F.lit(0).alias("side"), "start", "end")
     side1 = table.select(F.col("src").alias("d"), "id", F.lit(1).alias("side"), F.col("s_start").alias("start"), F.col("s_end").alias("end"))
     asked = side0.union(side1).groupBy("d", F.pmod("id", F.lit(SALTS)).alias("salt")).agg(F.collect_list(F.struct("id", "side", "start", "end")).alias("asked")).drop("salt")
-    if table.count() * 64 <= BROADCAST_BYTES:
-        asked = F.broadcast(asked)
-    joined = docs.select("doc", "text").join(asked, F.col("doc") == F.col("d")).select("text", "asked")
+    joined = docs.select("doc", "text").join(small_side(stored(asked, "asked"), 96), F.col("doc") == F.col("d")).select("text", "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
