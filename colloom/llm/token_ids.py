@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
@@ -23,10 +24,34 @@ _WITH_SPACES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_UPPER_LOWER}]+| ?[0-9]
 _WITHOUT_SPACES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9]|[^\s{_LOWER}0-9]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabularies: visible Latin-1 bytes stand for themselves."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Words(dict):
+    """Packed ids of words; a word not among the last two generations goes to the tokenizer's model."""
+
+    def __init__(self, model, letters: dict[int, str], old: dict[str, bytes]):
+        super().__init__()
+        self.tokenize, self.letters, self.old = model.tokenize, letters, old
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            spelled = word.encode("utf-8").decode("latin-1").translate(self.letters)
+            found = [t.id for t in self.tokenize(spelled)]
+            ids = pack(f"<{len(found)}I", *found)
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Packed ids (little-endian unsigned 32-bit) of texts; its memory holds two generations of words."""
 
-    def __init__(self, path: str, bound: int = 250_000):
+    def __init__(self, path: str, bound: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -34,44 +59,27 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        self.words = None
+        self.cut = None
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
-            self.words = _WITH_SPACES.findall
+            self.cut = _WITH_SPACES.findall
         elif pre.get("type") == "Sequence" and norm and [x["type"] for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
-            self.words = lambda text: _WITHOUT_SPACES.findall(text.lower())
-        self.bound, self.new, self.old = bound, {}, {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        missing = []
-        for w in words:
-            if (ids := self.old.get(w)) is None:
-                missing.append(w)
-            else:
-                self.new[w] = ids
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            self.new.update(zip(part, self._whole(part)))
+            self.cut = lambda text: _WITHOUT_SPACES.findall(text.lower())
+        self.bound, self.letters = bound, _byte_letters()
+        self.words = Words(self.tokenizer.model, self.letters, {})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, x in enumerate(texts) if self.words is None or (not x.isascii() or not x.isprintable()) and _UNUSUAL.search(x)]
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd])) if odd else ():
-            out[i] = ids
-        todo, size = [], 0
-        plain = [i for i in range(len(texts)) if out[i] is None]
-        for i in plain:
-            todo.append((i, self.words(texts[i])))
-            size += len(todo[-1][1])
-            if size >= 200_000 or i == plain[-1]:
-                if len(self.new) >= self.bound:
-                    self.old, self.new = self.new, {}
-                self._learn(set().union(*(x for _, x in todo)) - self.new.keys())
-                for j, cut in todo:
-                    out[j] = b"".join(map(self.new.__getitem__, cut))
-                todo, size = [], 0
+        out: list[bytes] = [b""] * len(texts)
+        whole = []
+        for i, x in enumerate(texts):
+            if self.cut is None or not x.isascii() and _UNUSUAL.search(x) or x.isascii() and not x.isprintable() and _UNUSUAL.search(x):
+                whole.append(i)
+                continue
+            if len(self.words) >= self.bound:
+                self.words = Words(self.tokenizer.model, self.letters, dict(self.words))
+            out[i] = b"".join(map(self.words.__getitem__, self.cut(x)))
+        if whole:
+            for i, x in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+                out[i] = np.array(x.ids, dtype="<u4").tobytes()
         return out
 
 
