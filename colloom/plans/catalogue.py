@@ -468,3 +468,158 @@ def q46_timestamp_text(spark, sf_dir):
 @query()
 def q47_crc_manifest(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32"))
+
+
+# --- coders, archives, binary records ---------------------------------------------------------
+
+
+@query()
+def q39_codec_sizes(spark, sf_dir):
+    from .planner import code_sizes
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return code_sizes(d, "doc_id", "content", ["raw", "zlib", "bz2", "lzma"])
+
+
+@query("SELECT doc_id, true AS not_worse FROM documents")
+def q40_planner_choice(spark, sf_dir):
+    from .planner import code_sizes, never_worse
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    raw = d.select("doc_id", F.octet_length("content").cast("long").alias("bytes"))
+    best = never_worse(code_sizes(d, "doc_id", "content", ["zlib", "bz2"]), raw, ["doc_id"])
+    return best.join(raw.withColumnRenamed("bytes", "raw"), "doc_id").select("doc_id", (F.col("bytes") <= F.col("raw")).alias("not_worse"))
+
+
+def order_files(spark, sf_dir):
+    """Orders as 20 CSV files."""
+    o = table(spark, sf_dir, "orders")
+    cells = ["o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("p"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), "o_orderpriority"]
+    rows = o.select((F.col("o_orderkey") % 20).cast("int").alias("file_ordinal"), "o_orderkey", F.concat_ws(",", *cells).alias("line"))
+    files = rows.groupBy("file_ordinal").agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]).alias("l"))
+    return files.select("file_ordinal", F.format_string("orders-%02d.csv", "file_ordinal").alias("name"), F.encode(F.concat(F.array_join("l", "\n"), F.lit("\n")), "ISO-8859-1").alias("content"))
+
+
+_ORDER_FILES = (
+    "f AS (SELECT (o_orderkey % 20)::INT AS k, string_agg(o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',' || round(o_totalprice * 100)::BIGINT || ',' || strftime(o_orderdate, '%Y-%m-%d') || ',' || o_orderpriority, chr(10) ORDER BY o_orderkey) || chr(10) AS text FROM orders GROUP BY 1)"
+)
+
+
+def _packed(spark, sf_dir) -> str:
+    import tempfile
+    import uuid
+
+    from ..operators.archive import pack_files
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="colloom-")
+    path = f"{folder.rstrip('/')}/colloom-archive-{uuid.uuid4().hex}"
+    pack_files(order_files(spark, sf_dir), path, max_files=8)
+    return path
+
+
+@query(f"WITH {_ORDER_FILES} SELECT 'orders-' || lpad(k::VARCHAR, 2, '0') || '.csv' AS name, sha256(text) AS sha256, strlen(text) AS n_bytes FROM f")
+def q48_archive_round_trip(spark, sf_dir):
+    from ..operators.archive import unpack
+
+    back = unpack(spark, _packed(spark, sf_dir))
+    return back.select("name", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@query(f"WITH {_ORDER_FILES} SELECT 'orders-13.csv' AS name, sha256(text) AS sha256 FROM f WHERE k = 13")
+def q49_archive_get(spark, sf_dir):
+    from ..operators.archive import unpack
+
+    return unpack(spark, _packed(spark, sf_dir), ["orders-13.csv"]).select("name", F.sha2("content", 256).alias("sha256"))
+
+
+@query(f"WITH {_ORDER_FILES} SELECT 'orders-' || lpad(k::VARCHAR, 2, '0') || '.csv' AS name, (k // 8)::INT AS batch_id, strlen(text) AS n_bytes FROM f")
+def q50_archive_list(spark, sf_dir):
+    from ..operators.archive import list_files
+
+    return list_files(spark, _packed(spark, sf_dir)).select("name", F.col("batch_id").cast("int").alias("batch_id"), "n_bytes")
+
+
+@query(f"WITH {_ORDER_FILES} SELECT k AS file_ordinal, sha256(text) AS sha256, len(string_split(text, chr(10)))::BIGINT - 1 AS n_rows, 6 AS width FROM f")
+def q51_table_round_trip(spark, sf_dir):
+    files = order_files(spark, sf_dir)
+    rows, heads = L.table(files)
+    back = L.rebuild(rows, heads).join(heads.select("file_ordinal", "n_rows", "width"), "file_ordinal")
+    return back.select("file_ordinal", F.sha2("content", 256).alias("sha256"), "n_rows", "width")
+
+
+@query("SELECT ',' AS sep, 6 AS width, 1.0::DOUBLE AS share")
+def q52_sniffed_delimiter(spark, sf_dir):
+    return L.sniff(order_files(spark, sf_dir))
+
+
+def binary_rows(spark, sf_dir):
+    """Documents' embeddings and texts as binary values."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.encode(F.array_join(F.transform("embedding", lambda x: F.round(x * 1000).cast("int").cast("string")), ","), "ISO-8859-1").alias("content"))
+
+
+@query("SELECT vec_id AS id, sha256(array_to_string(list_transform(embedding, lambda x: CASE WHEN x < 0 THEN -floor(abs(x::DOUBLE * 1000) + 0.5)::INT ELSE floor(x::DOUBLE * 1000 + 0.5)::INT END), ',')) AS sha256 FROM embeddings")
+def q53_binary_round_trip(spark, sf_dir):
+    from ..operators.binary import compress_table, decompress_table
+
+    rows = binary_rows(spark, sf_dir).withColumn("content", F.encode(F.array_join(F.transform(F.split(F.decode("content", "ISO-8859-1"), ","), lambda x: x), ","), "ISO-8859-1"))
+    return decompress_table(compress_table(rows)).select("id", F.sha2("content", 256).alias("sha256"))
+
+
+@query()
+def q54_binary_structure(spark, sf_dir):
+    from ..operators.binary import structure
+
+    return structure(binary_rows(spark, sf_dir)).select("id", "entropy", F.col("periods")[0].alias("period"), "header", "n_segments")
+
+
+@query("SELECT y, x, a, b FROM (VALUES ('total', 'price', 1::BIGINT)) t(y, x, a), (SELECT 0::BIGINT AS b) WHERE false")
+def q55_best_line_on_noise(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("event_id") * 0 + 7).alias("total"), (F.col("event_id") * 0).alias("price"))
+    return R.best_line(e, ["total", "price"]).select("y", "x", "a", "b")
+
+
+@query(
+    f"WITH {_MONEY}, c AS (" + " UNION ALL ".join(f"SELECT '{m}' AS minus, {_cost('total - ' + m.replace(',', ' - '))} AS cost FROM m" for t, m in _COSTS if t == "total") + ") "
+    "SELECT 'total' AS target, minus FROM c ORDER BY cost, len(string_split(minus, ',')), minus LIMIT 1"
+)
+def q56_best_difference(spark, sf_dir):
+    return R.best_differences(money(spark, sf_dir), ["price", "qty", "tax", "total"]).filter("target = 'total'").select("target", "minus")
+
+
+@query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def q57_windowed_profile(spark, sf_dir):
+    from ..streaming.ingest import windowed_profile
+
+    return windowed_profile(table(spark, sf_dir, "events"))
+
+
+@query("WITH l AS (SELECT doc_id, text FROM documents) SELECT doc_id, sha256(text) AS sha256 FROM l")
+def q58_log_extract_restore(spark, sf_dir):
+    from .measure import log_extracts, log_restore
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("line"))
+    return log_restore(log_extracts(d).drop("line")).select("doc_id", F.sha2(F.col("line").cast("binary"), 256).alias("sha256"))
+
+
+@query("SELECT 'parquet' AS kind, 'zstd' AS codec, true AS same UNION ALL SELECT 'orc', 'zstd', true")
+def q59_storage_sizes(spark, sf_dir):
+    import tempfile
+    import uuid
+
+    from .measure import storage_sizes
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="colloom-")
+    rows = storage_sizes(table(spark, sf_dir, "customer"), f"{folder.rstrip('/')}/colloom-sizes-{uuid.uuid4().hex}", (("parquet", "zstd"), ("orc", "zstd")))
+    return spark.createDataFrame([(k, c, same) for k, c, _, _, same in rows], "kind string, codec string, same boolean")
+
+
+@query("SELECT (i * 8 // n)::INT AS file_ordinal, count(*) AS n_lines FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer) GROUP BY 1")
+def q60_split_rows(spark, sf_dir):
+    from .measure import split_rows
+
+    c = Q.row_numbers(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", "at")
+    lines = c.select((F.col("at") + 1).cast("long").alias("line_no"), "c_name").toDF("line_no", "line")
+    head = spark.createDataFrame([(0, "c_name")], "line_no long, line string")
+    files = split_rows(head.union(lines), 8)
+    return files.select("file_ordinal", (F.size(F.split(F.decode("content", "ISO-8859-1"), "\n")).cast("long") - 2).alias("n_lines"))
