@@ -161,6 +161,8 @@ def steim2_encode(samples: list[int], before: int, frames: int) -> bytes | None:
     d = [samples[0] - before] + [b - a for a, b in zip(samples, samples[1:])]
     shapes = [((k[0], k[1]), *v) for k, v in PACKINGS.items()]
     shapes.sort(key=lambda s: -s[1])
+    if not all(-(1 << 31) <= x < 1 << 31 for x in (samples[0], samples[-1])):
+        return None
     at, body = 0, []
     for f in range(frames):
         nibbles, words = 0, []
