@@ -1,8 +1,8 @@
 r"""Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Normalised lines are hashed, and for each host (the column source) the distinct documents with a line
-are counted. Near copies would make any line of a much copied text frequent, so documents count as
-one if their smallest line hash is the same. A line in MIN_DOCS documents and in MIN_SHARE of the
+are counted. Near copies would make any line of a much copied text frequent, so documents with a line
+count as one if the smallest hash of their other lines is the same. A line in MIN_DOCS documents and in MIN_SHARE of the
 host's is boilerplate and is removed; a document is rejected if what remains is under MIN_WORDS words
 or under a fifth of its words.
 """
@@ -93,10 +93,12 @@ def boilerplate_lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = _keyed(docs.select("doc_id", "text", "source")).select(*_KEY, _lines(text).alias("l"))
     rows = rows.select(*_KEY, F.transform("l", lambda x: F.struct(x["i"].alias("i"), _line_key(x["line"]).alias("key"), F.size(_words(x["line"])).alias("n"))).alias("l"))
-    rows = rows.withColumn("copy", F.array_min(F.transform("l", lambda x: x["key"])))
-    lines = stored(rows.select(*_KEY, "copy", F.inline("l")), "lines")
+    rows = rows.withColumn("first", F.array_min(F.transform("l", lambda x: x["key"])))
+    rows = rows.withColumn("second", F.array_min(F.filter(F.transform("l", lambda x: x["key"]), lambda k: k != F.col("first"))))
+    copy = F.coalesce(F.when(F.col("key") == F.col("first"), F.col("second")).otherwise(F.col("first")), F.lit(-1))
+    lines = stored(rows.select(*_KEY, "first", "second", F.inline("l")).withColumn("copy", copy).drop("second"), "lines")
     seen = lines.groupBy("__host", "key", "copy").agg(F.lit(1).alias("one")).groupBy("__host", "key").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= MIN_DOCS)
-    hosts = lines.groupBy("__host", "copy").agg(F.lit(1).alias("one")).groupBy("__host").agg(F.count(F.lit(1)).alias("all"))
+    hosts = lines.groupBy("__host", "first").agg(F.lit(1).alias("one")).groupBy("__host").agg(F.count(F.lit(1)).alias("all"))
     limit = seen.alias("s").join(hosts.alias("h"), F.expr("s.__host <=> h.__host")).filter(F.col("docs") * 100 >= F.col("all") * MIN_SHARE_PERCENT)
     often = limit.select(F.col("s.__host").alias("host"), F.col("key").alias("often"))
     found = lines.join(often, F.expr("__host <=> host and key = often")).select(*_KEY, "i", "n").distinct()
@@ -145,9 +147,11 @@ covered AS (SELECT row_no, sum(least(5, coalesce(next_i - i, 5))) AS n FROM (SEL
 lines AS (SELECT row_no, source, ('0x' || substr(md5(translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 1, 15))::BIGINT AS key,
   len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x != '')) AS n
   FROM (SELECT row_no, source, unnest(lines) AS line FROM w)),
-copies AS (SELECT row_no, min(key) AS copy FROM lines GROUP BY row_no),
-often AS (SELECT source, key FROM (SELECT source, key, count(DISTINCT copy) AS docs FROM lines JOIN copies USING (row_no) GROUP BY source, key) s
-  WHERE docs >= 50 AND docs * 100 >= 2 * (SELECT count(DISTINCT copy) FROM lines l JOIN copies USING (row_no) WHERE l.source IS NOT DISTINCT FROM s.source)),
+firsts AS (SELECT row_no, source, min(key) AS first FROM lines GROUP BY row_no, source),
+seconds AS (SELECT row_no, min(key) AS second FROM lines JOIN firsts USING (row_no) WHERE key != first GROUP BY row_no),
+seen AS (SELECT l.source, key, count(DISTINCT coalesce(CASE WHEN key = first THEN second ELSE first END, -1)) AS docs FROM lines l JOIN firsts USING (row_no) LEFT JOIN seconds USING (row_no) GROUP BY l.source, key),
+hosts AS (SELECT source, count(DISTINCT first) AS docs FROM firsts GROUP BY source),
+often AS (SELECT s.source, key FROM seen s JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source WHERE s.docs >= 50 AND s.docs * 100 >= 2 * h.docs),
 removed AS (SELECT row_no, sum(n) AS removed FROM lines l JOIN often o ON l.key = o.key AND l.source IS NOT DISTINCT FROM o.source GROUP BY row_no),
 f AS (SELECT w.row_no, doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(r.removed, 0)::BIGINT AS removed_words
