@@ -623,3 +623,25 @@ def q60_split_rows(spark, sf_dir):
     head = spark.createDataFrame([(0, "c_name")], "line_no long, line string")
     files = split_rows(head.union(lines), 8)
     return files.select("file_ordinal", (F.size(F.split(F.decode("content", "ISO-8859-1"), "\n")).cast("long") - 2).alias("n_lines"))
+
+
+@query(f"WITH {_ORDER_FILES} SELECT k::BIGINT AS id, sha256(text) AS sha256, true AS smaller FROM f")
+def q61_text_formats_round_trip(spark, sf_dir):
+    from ..operators.binary import compress_table, decompress_table
+
+    files = order_files(spark, sf_dir).select(F.col("file_ordinal").cast("long").alias("id"), "content")
+    coded = compress_table(files)
+    back = decompress_table(coded).select("id", F.sha2("content", 256).alias("sha256"))
+    return back.join(coded.select("id", (F.octet_length("payload") * 3 < F.col("raw_bytes")).alias("smaller")), "id")
+
+
+@query(f"WITH {_ORDER_FILES}, x AS (SELECT k, string_split(rtrim(text, chr(10)), chr(10)) AS l FROM f) SELECT k AS file_ordinal, length(l[1])::INT AS first_width, len(l)::BIGINT AS n_lines FROM x")
+def q62_lines(spark, sf_dir):
+    rows = L.lines(order_files(spark, sf_dir))
+    return rows.groupBy("file_ordinal").agg(F.min_by(F.length("line"), "line_no").alias("first_width"), F.count(F.lit(1)).alias("n_lines"))
+
+
+@query()
+def q63_vocabulary_groups(spark, sf_dir):
+    groups = R.vocabulary_groups(key_cells(spark, sf_dir))
+    return spark.createDataFrame([(i, c) for i, g in enumerate(groups) for c in g], "group_id int, col string")

@@ -186,3 +186,33 @@ def test_fasta(data):
     packed, notes = C.fasta_encode(data)
     assert C.fasta_decode(packed, notes) == data
     assert C.fasta_encode(b"no header") is None
+
+
+def test_text_formats_and_record_candidates():
+    from colloom.operators import text_formats as T
+
+    log = "".join(f"Jan {i % 28:02d} 10:{i % 60:02d}:00 host proc[{i}]: message {i} of words\n" for i in range(80)).encode() + b"a b c d\n"
+    table = b"# note\n" + b"".join(b"%d,%d.%02d,x%d\n" % (i, i * 3, i % 100, i % 4) for i in range(120))
+    fixed = b"".join(b"%08d|%10s|%5s|%020d\n" % (i, b"abc", b"xy", i) for i in range(250)) + b"short"
+    fasta = b">seq\n" + b"ACGTACGTACGTNC\n" * 50 + b">two\nACG"
+    for name, data in (("log4", log), ("table", table), ("fixed_width", fixed), ("fasta", fasta)):
+        coded, back = T.FORMATS[name]
+        params, body = coded(data)
+        assert back(params, body) == data
+        found = {n for n, _, _ in candidates(data)}
+        assert name in found
+    r = np.random.default_rng(4)
+    x = r.integers(0, 4000, 600)
+    rec = np.stack([x, 3 * x + 40 + r.integers(0, 3, 600), r.integers(0, 9, 600)], axis=1).astype("<u2").tobytes()
+    twelve = B.un_sub_byte((np.cumsum(r.integers(-3, 4, 4000)) + 2000).astype(np.uint16), 12)
+    mixed = B.un_delta(bytes(4096)) + np.arange(3000, dtype="<u4").tobytes()
+    seen = set()
+    for data in (rec, twelve, mixed, log, table, fixed, fasta):
+        for name, params, body in candidates(data):
+            import json
+
+            assert undo(name, json.loads(json.dumps(params)), body) == data, name
+            seen.add(name)
+        name, params, coder, payload = compress(data)
+        assert decompress(name, json.loads(json.dumps(params)), coder, payload) == data
+    assert {"line", "sub_byte", "dictionary", "segments", "table", "log3", "fixed_width", "fasta"} <= seen

@@ -315,3 +315,14 @@ def test_read_files_in_name_order(spark, tmp_path):
         (tmp_path / name).write_bytes(name.encode())
     got = [(r["file_ordinal"], r["name"], bytes(r["content"])) for r in L.read_files(spark, str(tmp_path)).orderBy("file_ordinal").collect()]
     assert got == [(0, "a", b"a"), (1, "b", b"b"), (2, "c", b"c")]
+
+
+def test_difference_columns():
+    r = random.Random(8)
+    fares = [(r.randint(300, 9000), r.randint(0, 900), r.randint(0, 700)) for _ in range(400)]
+    text = "".join(f"{a / 100:.2f},{b / 100:.2f},{c / 100:.2f},{(a + b + c) / 100:.2f}\n" for a, b, c in fares).encode()
+    parsed = K.parse([text, text[: text.index(b"\n") + 1]])
+    groups = K.encode_columns(parsed)
+    methods = {c["col_no"]: c["method"] for notes, _ in groups for c in notes}
+    assert methods[3] == "difference"
+    assert K.render(parsed, K.decode_columns(groups, parsed)) == [text, text[: text.index(b"\n") + 1]]
