@@ -1,9 +1,10 @@
 """Quality by importance resampling.
 
 Words and word pairs are hashed to BUCKETS features. A target model is fitted to labelled good
-documents (a bounded sample), a raw model to the whole corpus. A document's weight is the ratio of
-both models' probabilities for CHUNK of its features (the geometric mean over the document, so that
-long documents are not favoured). Gumbel noise, fixed by doc_id and seed, is added to its logarithm,
+documents (a bounded sample), a raw model to the whole corpus; the target's counts are smoothed by
+SMOOTHING counts drawn from the raw model, so that a feature too rare to judge has ratio 1. A document
+weighs what its least likely stretch of CHUNK features weighs, the ratio of both models'
+probabilities, so that neither length nor a good remainder hides a bad passage. Gumbel noise, fixed by doc_id and seed, is added to its logarithm,
 and the top k documents are the sample: drawn without replacement in proportion to the weights.
 """
 
@@ -18,13 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, hash_words, rolling, split_words, stored
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 18
 CHUNK = 128
 #: Labelled documents that the target model is fitted to, at most: those of the smallest hash.
 LABELLED = 50_000
-SMOOTHING = 0.5
+SMOOTHING = 10.0
 SEED = 17
-_BATCH_WORDS = 1 << 20
+_BATCH_WORDS = 1 << 19
 
 
 def _features(texts: list[str | None], known: WordHashes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -72,27 +73,37 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> np.ndarray
     counts = np.zeros((2, BUCKETS))
     for r in rows.groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():
         counts[:, r["b"]] = r["raw"], r["good"]
-    p = (counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)
-    return np.log(p[1]) - np.log(p[0])
+    raw, good = counts
+    expected = good.sum() * raw / max(raw.sum(), 1.0)
+    return np.log(good + SMOOTHING) - np.log(expected + SMOOTHING)
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight and sort_key (log_weight plus Gumbel noise) of every row.
 
-    A text without words has no features and weighs nothing: its log_weight is that of CHUNK features
-    of the lowest ratio.
+    A text of fewer than CHUNK features weighs what CHUNK features of its mean ratio do. One without
+    words has no features: its log_weight is that of CHUNK features of the lowest ratio.
     """
-    table = docs.sparkSession.sparkContext.broadcast(np.append(ratio, 0.0))
-    floor = float(ratio.min()) * CHUNK
+    # Whole multiples of 2**-32: sums are exact, whatever rows a task works through together.
+    whole = np.round(ratio * 2.0**32).astype(np.int64)
+    table = docs.sparkSession.sparkContext.broadcast(np.append(whole, 0))
+    floor = int(whole.min()) * CHUNK
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             out = np.empty(batch.num_rows)
             for a, b, both, ends in _features(batch.column(1).to_pylist(), known):
-                sums = np.concatenate([[0.0], np.cumsum(table.value[both])])
+                sums = np.concatenate([[0], np.cumsum(table.value[both])])
                 n = (ends[1:] - ends[:-1]) - 1
-                out[a:b] = np.where(n > 0, (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(n, 1) * CHUNK, floor)
+                own = np.where(n > 0, (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(n, 1) * CHUNK, floor)
+                long = np.flatnonzero(n > CHUNK)
+                if len(long):
+                    stretches = np.append(sums[CHUNK:] - sums[:-CHUNK], np.iinfo(np.int64).max)
+                    first = ends[:-1][long]
+                    cuts = np.stack([first, first + n[long] - CHUNK + 1], axis=1).ravel()
+                    own[long] = np.minimum.reduceat(stretches, cuts)[::2]
+                out[a:b] = own * 2.0**-32
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "log_weight"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, log_weight double")
