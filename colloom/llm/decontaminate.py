@@ -159,3 +159,18 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that are not contaminated, with their own columns; test words in the others are left."""
     found = find_test_words(docs, benchmark)
     return found.filter(~_contaminated(_n_hit(), F.col(COUNT))).select(*(f"`{c}`" for c in docs.columns))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+items AS (SELECT DISTINCT item_id, least(13, len(w)) AS m, array_to_string(w[k:k + least(13, len(w)) - 1], ' ') AS win FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS k FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT m FROM items),
+places AS (SELECT row_no, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, sizes WHERE len(w) >= m),
+found AS (SELECT p.row_no, p.k, p.m, x.item_id FROM places p JOIN items x ON x.m = p.m AND x.win = array_to_string(p.w[p.k:p.k + p.m - 1], ' ')),
+hits AS (SELECT row_no, count(DISTINCT j) AS n_hit FROM (SELECT row_no, unnest(range(k, k + m)) AS j FROM (SELECT DISTINCT row_no, k, m FROM found)) GROUP BY row_no),
+named AS (SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_no, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY row_no)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (row_no) LEFT JOIN named USING (row_no)
+"""

@@ -59,4 +59,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.ORACLE, "op9_quality_rules": quality.ORACLE}
+    return {
+        "op4_decontamination": decontaminate.ORACLE,
+        "op5_url_filter": url_filter.ORACLE,
+        "op9_quality_rules": quality.ORACLE,
+        "op10_jaccard_join": jaccard_join.ORACLE,
+    }
