@@ -3,10 +3,12 @@
 1. Shingles that recur within a block of documents are counted over the corpus; the most frequent of
    them get a place in the common order, all others come before them by hash. Any common order gives
    right results, a rare-first one gives few candidates.
-2. Each distinct set keeps its prefix: sets of similarity t share a shingle of their first
-   n - ceil(t n) + 1. Equal sets are one node from here on, whatever their number.
-3. Prefix postings of one shingle are joined in order of set size; sizes too far apart part the
-   chain (length filter). The components of these star edges hold every possible link.
+2. Each distinct set keeps its prefix: sets of similarity t share e shingles of their first
+   n - ceil(t n) + e. Equal sets are one node from here on, whatever their number.
+3. Prefix postings of one shingle, packed by block and part of the hash space, are joined in order
+   of set size; sizes too far apart part the group (length filter). In groups of up to SMALL sets
+   pairs are counted, and those that share e stay; larger groups become stars, which hold all their
+   pairs. The components of these edges hold every possible link.
 4. A component's sets are dealt in blocks by size; each pair of blocks whose sizes can match is one
    task of bounded memory. It walks the sets by size with an inverted index of prefixes, applies the
    positional and suffix filters, verifies a pair once, and skips pairs that are already connected
@@ -18,27 +20,30 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import WordHashes, hash_words, mix, shingle_hashes, split_words, stored
+from .common import WordHashes, even_keys, hash_words, lengths, mix, pack, shingle_hashes, small_side, split_words, starts, stored, unpack
 from .components import connected_components
 
 SHINGLE = 5
 PERCENT = 80
 #: Shingles with a place in the common order; the others are ordered by hash.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
 #: Occurrences within a block of documents from which a shingle is reported.
 REPORTED = 3
 #: Sets and bytes of shingles that a block holds at most (one larger set is a block of its own).
 BLOCK_SETS = 1000
 BLOCK_BYTES = 16 << 20
-_BATCH_WORDS = 1 << 20
+#: Sets that share a prefix shingle up to which all their pairs are counted; more are a star.
+SMALL = 64
+#: Prefix postings that a task packs at once, and whose pairs it counts at once.
+BLOCK_POSTINGS = 1 << 20
+PAIRED_POSTINGS = 1 << 15
+_BATCH_WORDS = 1 << 19
 
 
 def _sets(batches: Iterator[pa.RecordBatch], known: WordHashes, k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -64,10 +69,20 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def needed(n: int, percent: int) -> int:
-    """Shingles that a set must share with any set at least as large or not smaller than percent of it."""
+    """Shingles that a set of n must share with any set that it is linked with."""
     return -(-n * percent // 100)
 
 
+def extra(n):
+    """Shingles that a linked pair shares at least in their prefixes, by the smaller set's size."""
+    return 1 + n // 20
+
+
+def prefix_length(n: int, percent: int) -> int:
+    """Of sets that share `needed`, the first n - needed + extra shingles share `extra`."""
+    return min(n, n - needed(n, percent) + extra(n))
+
+
 def frequent_shingles(docs: DataFrame, k: int = SHINGLE, limit: int = FREQUENT) -> list[int]:
     """Hashes of the most frequent shingles, most frequent first; at most limit come to the driver."""
 
@@ -82,7 +97,7 @@ def frequent_shingles(docs: DataFrame, k: int = SHINGLE, limit: int = FREQUENT)
         for _, sets in _sets(batches, known, k):
             pile += sets
             size += sum(map(len, sets))
-            if size >= 4 << 20:
+            if size >= 2 << 20:
                 yield report()
                 pile, size = [], 0
         if pile:
@@ -146,7 +161,7 @@ def linked_pairs(sets: list[np.ndarray], order: Order, percent: int, left: int |
     for j in sorted(range(len(sets)), key=lambda i: len(sets[i])):
         x = sets[j]
         n = len(x)
-        prefix = order.arrange(x)[: n - needed(n, percent) + 1].tolist()
+        prefix = order.arrange(x)[: n - needed(n, percent) + 1].tolist()  # one shared shingle is enough here
         side = left is not None and j < left
         shared: dict[int, int] = {}
         for p, h in enumerate(prefix):
@@ -178,109 +193,208 @@ def linked_pairs(sets: list[np.ndarray], order: Order, percent: int, left: int |
     return out
 
 
-def set_table(docs: DataFrame, frequent: list[int], k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, sig, prefix (array of hashes) of every row."""
-    order = docs.sparkSession.sparkContext.broadcast(Order(frequent))
+def set_table(docs: DataFrame, frequent: list[int], k: int = SHINGLE, percent: int = PERCENT, parts: int = 8) -> DataFrame:
+    """A row for each document: doc_id, n, node, sig; and for each block and part its prefix postings, packed.
+
+    node is 64 bits of sig. A block's equal sets have their postings once.
+    """
+    order, keys = docs.sparkSession.sparkContext.broadcast(Order(frequent)), even_keys(docs.sparkSession, parts)
+    names = ["doc_id", "n", "node", "sig", "part", "postings"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, heads, nodes, sizes, seen, held = WordHashes(), [], [], [], set(), 0
+
+        def postings() -> pa.RecordBatch:
+            h = np.concatenate(heads)
+            at = np.repeat(np.arange(len(heads), dtype=np.uint32), [len(x) for x in heads])
+            part = keys[(h % np.uint64(parts)).astype(np.int64)]
+            by_part = np.lexsort((h, part))
+            h, at, part = h[by_part], at[by_part], part[by_part]
+            cuts = np.append(starts(part), len(part))
+            node, n = np.array(nodes, dtype=np.uint64), np.array(sizes, dtype=np.uint32)
+            rows = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                own, place = np.unique(at[a:b], return_inverse=True)
+                rows.append((None, None, None, None, int(part[a]), pack(node[own], n[own], h[a:b], place.astype(np.uint32))))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
         for rows, sets in _sets(batches, known, k):
-            heads = [order.value.arrange(s)[: len(s) - needed(len(s), percent) + 1] if len(s) else s for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
-            flat = pa.array(np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64))
-            cols = [
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([signature(s) for s in sets], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(offsets), flat),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "sig", "prefix"])
+            sigs = [signature(s) for s in sets]
+            ids = [int.from_bytes(x[:8], "little", signed=True) for x in sigs]
+            cols = [[r[0] for r in rows], [len(s) for s in sets], ids, sigs, [None] * len(sets), [None] * len(sets)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+            for s, sig, node in zip(sets, sigs, ids):
+                if len(s) and sig not in seen:
+                    seen.add(sig)
+                    heads.append(order.value.arrange(s)[: prefix_length(len(s), percent)])
+                    nodes.append(node & (2**64 - 1))
+                    sizes.append(len(s))
+                    held += len(heads[-1])
+            if held >= BLOCK_POSTINGS:
+                yield postings()
+                heads, nodes, sizes, seen, held = [], [], [], set(), 0
+        if heads:
+            yield postings()
 
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(prefixes, "doc_id long, n long, sig binary, prefix array<long>")
+    return rows.mapInArrow(prefixes, "doc_id long, n long, node long, sig binary, part int, postings binary")
 
 
-def candidate_components(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of sets that share a prefix shingle with a set of fitting size."""
-    from pyspark.sql import Window
-
-    postings = nodes.select("node", "n", F.explode("prefix").alias("h"))
-    by_size = Window.partitionBy("h").orderBy("n", "node")
-    so_far = by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.lag("n").over(by_size)
-    start = F.when(before.isNull() | (before * 100 < F.col("n") * percent), F.col("node"))
-    chained = postings.withColumn("start", start)
-    stars = chained.select("node", F.last("start", ignorenulls=True).over(so_far).alias("hub")).filter("node != hub")
-    return connected_components(stars.distinct().toDF("a", "b"))
+def _near(h: np.ndarray, n: np.ndarray, node: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs [a, b, shared] within small groups of one shingle, and star edges [a, hub] of large ones.
 
+    The rows are sorted by shingle, then size. Length filter: a group is cut where the next set is too
+    large for the last one, and a pair is left out where it is for the first.
+    """
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (n[:-1] * 100 < n[1:] * percent)
+    at = np.flatnonzero(new)
+    size = lengths(at, len(h))
+    start, size = np.repeat(at, size), np.repeat(size, size)
+    large = (size > SMALL) & ~new
+    stars = np.stack([node[large], node[start[large]]], axis=1)
+    place, pairs = np.arange(len(h)) - start, []
+    small = np.flatnonzero((size <= SMALL) & (size > 1))
+    for d in range(1, SMALL):
+        small = small[place[small] + d < size[small]]
+        if not len(small):
+            break
+        fits = small[n[small] * 100 >= n[small + d] * percent]
+        pairs.append(np.stack([node[fits], node[fits + d]], axis=1))
+    both = np.sort(np.concatenate(pairs), axis=1) if pairs else np.zeros((0, 2), np.uint64)
+    order = np.lexsort((both[:, 1], both[:, 0]))
+    both = both[order]
+    at = starts(both[:, 0], both[:, 1])
+    return np.column_stack([both[at], lengths(at, len(both)).astype(np.uint64)]), stars
+
+
+def candidate_components(table: DataFrame, reps: DataFrame, percent: int = PERCENT, parts: int = 8) -> DataFrame:
+    """(node, component) of sets that may be linked.
+
+    Pairs within groups of up to SMALL sets are counted over all shingles, and only pairs that share
+    `extra` of their prefixes stay; larger groups are stars, which join a superset of their pairs.
+    """
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, n, s (packed ascending hashes) of the wanted(doc, node, n, sig); their texts are read again."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for rows, sets in _sets(batches, known, k):
-            good = [i for i, (r, s) in enumerate(zip(rows, sets)) if signature(s) == r[2]]
-            cols = [pa.array([rows[i][0] for i in good], pa.int64()), pa.array([rows[i][1] for i in good], pa.int64()), pa.array([sets[i].astype("<u8").tobytes() for i in good], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "component", "s"])
-
-    texts = docs.select("text", F.col("doc_id").cast("long").alias("__id"))
-    rows = texts.join(wanted, F.expr("__id <=> doc"), "inner").select("text", "node", "component", "sig")
-    return rows.mapInArrow(pack, "node long, component long, s binary")
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, got = None, []
 
+        def close() -> Iterator[pa.RecordBatch]:
+            if not got:
+                return
+            node = np.concatenate([x[0][x[3]] for x in got])
+            n = np.concatenate([x[1][x[3]] for x in got]).astype(np.int64)
+            h = np.concatenate([x[2] for x in got])
+            got.clear()
+            order = np.lexsort((node, n, h))
+            node, n, h = node[order], n[order], h[order]
+            kept = np.ones(len(h), dtype=bool)
+            kept[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])  # equal sets of several blocks
+            node, n, h = node[kept], n[kept], h[kept]
+            a = 0
+            while a < len(h):
+                b = min(len(h), a + PAIRED_POSTINGS)
+                while b < len(h) and h[b] == h[b - 1]:
+                    b += 1
+                pairs, stars = _near(h[a:b], n[a:b], node[a:b], percent)
+                stars = np.unique(stars, axis=0)
+                e = np.concatenate([pairs, np.column_stack([stars, np.zeros(len(stars), np.uint64)])])
+                if len(e):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, i]).view(np.int64)) for i in range(3)], names=["a", "b", "shared"])
+                a = b
 
-def _verified_edges(sets: DataFrame, frequent: list[int], percent: int) -> DataFrame:
-    """(a, b): nodes of verified links, enough of them to connect what links connect."""
+        for batch in batches:
+            for part, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now:
+                    yield from close()
+                    now = part
+                got.append(unpack(payload))
+        yield from close()
+
+    blocks = table.filter("part is not null").select("part", "postings")
+    found = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(near, "a long, b long, shared long")
+    pairs = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("shared").alias("least"))
+    sizes = reps.groupBy("node").agg(F.min("n").alias("n"))
+    x, y = sizes.toDF("a", "n_a"), sizes.toDF("b", "n_b")
+    strong = F.expr("least = 0") | (F.col("shared") > F.floor(F.least("n_a", "n_b") / 20))
+    edges = stored(pairs, "pairs").join(x, "a").join(y, "b").filter(strong).select("a", "b")
+    return connected_components(edges)
+
+
+def _tasks(wanted: DataFrame, percent: int) -> DataFrame:
+    """(doc, sig, tasks) of wanted(doc, sig, component, n): the pairs of blocks that a set takes part in.
+
+    Blocks are cut by running sums over (component, size) counts, not over rows. Sets of one size are
+    dealt to sub-blocks by hash where they alone exceed a block.
+    """
     from pyspark.sql import Window
 
-    spark = sets.sparkSession
-    order = spark.sparkContext.broadcast(Order(frequent))
-    # Blocks by size: running sums over (component, size) counts, not over rows.
-    sets = sets.withColumn("n", (F.octet_length("s") / 8).cast("long"))
-    sized = sets.groupBy("component", "n").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy("component").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    begins = sized.select("component", "n", F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("sets_before"), F.coalesce(F.sum(F.col("c") * F.col("n") * 8).over(upto), F.lit(0)).alias("bytes_before"))
-    totals = sized.groupBy("component").agg(F.sum("c").alias("all_sets"), F.sum(F.col("c") * F.col("n") * 8).alias("all_bytes"), F.max("c").alias("most"))
-    # Sets of one size are dealt to sub-blocks by hash where they alone exceed a block.
+    sized = wanted.groupBy("component", "n").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy("component").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sets_before, bytes_before = F.coalesce(F.sum("c").over(before), F.lit(0)), F.coalesce(F.sum(F.col("c") * F.col("n") * 8).over(before), F.lit(0))
     per = F.least(F.lit(BLOCK_SETS), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (F.col("n") * 8))))
-    sub = F.ceil(F.col("c") / per)
-    blocks = sized.join(begins, ["component", "n"]).withColumn("subs", sub)
-    major = F.greatest(F.floor(F.col("sets_before") / BLOCK_SETS), F.floor(F.col("bytes_before") / BLOCK_BYTES))
-    blocks = blocks.select("component", "n", "subs", major.cast("long").alias("major"))
-    placed = sets.join(blocks, ["component", "n"]).withColumn("minor", F.when(F.col("subs") > 1, F.pmod(F.col("node"), F.col("subs")) + 1).otherwise(F.lit(0)))
-    listed = placed.groupBy("component", "major", "minor").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    listed = listed.withColumn("block", F.xxhash64("major", "minor"))
+    major = F.greatest(F.floor(sets_before / BLOCK_SETS), F.floor(bytes_before / BLOCK_BYTES))
+    blocks = sized.select("component", "n", F.ceil(F.col("c") / per).alias("subs"), major.cast("long").alias("major"))
+    minor = F.when(F.col("subs") > 1, F.pmod(F.xxhash64("sig"), F.col("subs")) + 1).otherwise(F.lit(0))
+    placed = stored(wanted.join(blocks, ["component", "n"]).select("doc", "sig", "component", "n", F.xxhash64("major", minor).alias("block")), "blocks")
+    listed = placed.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     x, y = listed.alias("x"), listed.alias("y")
     pairs = x.join(y, F.expr(f"x.component = y.component and (x.low < y.low or (x.low = y.low and x.block <= y.block)) and x.high * 100 >= y.low * {percent}"))
     pairs = pairs.select(F.col("x.component").alias("component"), F.col("x.block").alias("one"), F.col("y.block").alias("two"))
     ends = pairs.select("component", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"), "one", "two")
-    placed = placed.withColumn("block", F.xxhash64("major", "minor")).select("component", "block", "node", "s")
-    dealt = placed.join(ends, ["component", "block"]).select("component", "one", "two", (F.col("block") == F.col("one")).alias("first"), "node", "s")
-    dealt = dealt.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two", F.desc("first"), F.octet_length("s"), "node")
+    task = F.struct("component", "one", "two", (F.col("block") == F.col("one")).alias("first"))
+    by_block = ends.groupBy("component", "block").agg(F.collect_list(task).alias("tasks"))
+    return placed.join(by_block, ["component", "block"]).select("doc", "sig", "tasks")
+
+
+def _verified_edges(docs: DataFrame, wanted: DataFrame, frequent: list[int], k: int, percent: int) -> DataFrame:
+    """(a, b): sigs of verified links, enough of them to connect what links connect.
+
+    The texts of wanted sets are read again, and each set is sent once to each of its tasks.
+    """
+    order = docs.sparkSession.sparkContext.broadcast(Order(frequent))
+    names = ["component", "one", "two", "first", "sig", "s"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for rows, sets in _sets(batches, known, k):
+            out = []
+            for (sig, tasks), s in zip(rows, sets):
+                if signature(s) == sig:
+                    packed = s.astype("<u8").tobytes()
+                    out += [(t["component"], t["one"], t["two"], t["first"], sig, packed) for t in tasks]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    tasks = stored(_tasks(wanted, percent), "tasks")
+    texts = docs.select("text", F.col("doc_id").cast("long").alias("__id"))
+    asked = texts.join(small_side(tasks, 128), F.expr("__id <=> doc"), "inner").select("text", "sig", "tasks")
+    dealt = asked.mapInArrow(shingles, "component long, one long, two long, first boolean, sig binary, s binary")
+    dealt = dealt.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two", F.desc("first"), F.octet_length("s"), "sig")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, nodes, sets, left = None, [], [], 0
+        task, sigs, sets, left = None, [], [], 0
 
         def links() -> Iterator[pa.RecordBatch]:
-            if len(nodes) < 2:
+            if len(sigs) < 2:
                 return
-            own = task[1] == task[2]
-            found = linked_pairs(sets, order.value, percent, None if own else left)
+            found = linked_pairs(sets, order.value, percent, None if task[1] == task[2] else left)
             if found:
-                cols = [pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())]
+                cols = [pa.array([sigs[p[i]] for p in found], pa.binary()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(cols, names=["a", "b"])
 
         for batch in batches:
-            for component, one, two, first, node, s in zip(*(c.to_pylist() for c in batch.columns)):
+            for component, one, two, first, sig, s in zip(*(c.to_pylist() for c in batch.columns)):
                 if (component, one, two) != task:
                     yield from links()
-                    task, nodes, sets, left = (component, one, two), [], [], 0
+                    task, sigs, sets, left = (component, one, two), [], [], 0
                 left += first
-                nodes.append(node)
+                sigs.append(sig)
                 sets.append(np.frombuffer(s, dtype="<u8"))
         yield from links()
 
-    return dealt.mapInArrow(verify, "a long, b long")
+    return dealt.mapInArrow(verify, "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -290,21 +404,18 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     with each other: such a row's component is its own doc_id. Null doc_ids take part; the smallest
     known doc_id names the component, which is null if there is none. An empty table gives none.
     """
+    parts = max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     frequent = frequent_shingles(docs, k)
-    table = stored(set_table(docs, frequent, k, percent), "sets")
-    # Nodes are named by 64 bits of the signature; the component of candidates may only grow by a clash.
-    node = F.xxhash64("sig")
-    reps = table.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    reps = stored(reps.select(node.alias("node"), "sig", "doc", "n", "prefix"), "nodes")
-    candidates = candidate_components(reps, percent)
-    wanted = reps.select("doc", "node", "sig").join(candidates, "node").select("doc", "node", "component", "sig")
-    sets = stored(_sets_of(docs, wanted, k).dropDuplicates(["node"]), "candidates")
-    linked = connected_components(_verified_edges(sets, frequent, percent))
-    named = reps.select("node", "doc").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    table = stored(set_table(docs, frequent, k, percent, parts), "sets")
+    rows = table.filter("part is null").select("doc_id", "n", "node", "sig")
+    reps = stored(rows.filter("n > 0").groupBy("sig", "node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")), "nodes")
+    # Candidates go by 64 bits of sig: a clash may join two components of candidates, never two sets.
+    wanted = reps.join(candidate_components(table, reps, percent, parts), "node").select("doc", "sig", "component", "n")
+    linked = connected_components(_verified_edges(docs, wanted, frequent, k, percent))
+    named = reps.select("sig", "doc").join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     lowest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    by_node = named.join(lowest, "component").select("node", "component_id")
-    rows = table.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, node).alias("node"))
-    out = rows.join(by_node, "node", "left")
+    by_sig = named.join(lowest, "component").select("sig", "component_id")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(by_sig, "sig", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -317,12 +428,26 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
     from pyspark.sql import Window
 
     found = stored(jaccard_components(docs, k, percent).toDF("__id", "__n", "__c"), "components")
-    keep = found.filter("__n = 0 or __id is null or __id = __c").select("__id").distinct()
-    rows = docs.join(keep, F.expr("doc_id <=> __id"), "left_semi")
+    gone = found.filter("__n > 0 and __id != __c").select("__id").distinct()
+    rows = docs.join(small_side(gone, 16), F.expr("doc_id = __id"), "left_anti")
     repeated = found.filter("__n > 0 and __id is not null").groupBy("__id").count().filter("count > 1").select("__id")
     if repeated.isEmpty():
         return rows
-    once = rows.join(repeated, F.expr("doc_id <=> __id"), "left_anti")
-    copies = rows.join(repeated, F.expr("doc_id <=> __id"), "left_semi")
+    once = rows.join(repeated, F.expr("doc_id = __id"), "left_anti")
+    copies = rows.join(repeated, F.expr("doc_id = __id"), "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
     return once.union(copies.withColumn("__rn", F.row_number().over(first)).filter("__rn = 1").drop("__rn"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT row_no, array_to_string(w[k:k + least(5, len(w)) - 1], ' ') AS sh FROM (SELECT row_no, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT row_no, count(*) AS n FROM s GROUP BY row_no),
+shared AS (SELECT x.row_no AS a, y.row_no AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.row_no < y.row_no GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n na ON na.row_no = a JOIN n nb ON nb.row_no = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, a AS b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+lowest AS (SELECT r.a AS row_no, min(d.doc_id) AS component_id FROM reach r JOIN d ON d.row_no = r.b GROUP BY r.a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, CASE WHEN l.row_no IS NULL THEN doc_id ELSE component_id END AS component_id
+FROM d LEFT JOIN n USING (row_no) LEFT JOIN lowest l USING (row_no)
+"""
