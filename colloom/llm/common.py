@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import tempfile
 import uuid
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -20,13 +21,14 @@ _ODD = np.array(
 )
 
 
+@cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="colloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one of this machine only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="colloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
