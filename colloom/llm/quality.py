@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_side, stored
 
 MIN_WORDS = 10
 MIN_DOCS = 50
@@ -106,7 +106,7 @@ def boilerplate_lines(docs: DataFrame) -> DataFrame:
 
 
 def _with_lines(rows: DataFrame, removed: DataFrame) -> DataFrame:
-    r = removed.toDF("__d", "__h", "__s", "__removed", "__removed_lines")
+    r = small_side(stored(removed, "removed").toDF("__d", "__h", "__s", "__removed", "__removed_lines"), 128)
     return rows.join(r, F.expr("__doc <=> __d and __hash = __h and __host <=> __s"), "left").drop("__d", "__h", "__s")
 
 
@@ -127,9 +127,19 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The kept documents with their own columns; boilerplate lines are removed from text, n_chars follows."""
+    """The kept documents with their own columns; boilerplate lines are removed from text, n_chars follows.
+
+    Verdicts are stored first: a filter on their expressions would copy them into every use. Only
+    documents that are rejected or lose lines are joined with the texts.
+    """
     cols = list(docs.columns)
-    rows = _with_lines(base_columns(_keyed(docs), "__b_"), boilerplate_lines(docs)).filter(~base_failed("__b_") & ~_depleted("__b_"))
+    own = base_columns(_keyed(docs.select("doc_id", "text", "source"))).select(*_KEY, "n_words", "n_repeat_words")
+    judged = _with_lines(own, boilerplate_lines(docs))
+    kept = (~base_failed() & ~_depleted()).alias("__kept")
+    judged = stored(judged.select(*_KEY, kept, "__removed_lines"), "verdicts").filter("not __kept or __removed_lines is not null")
+    marks = judged.toDF("__d", "__h", "__s", "__kept", "__removed_lines").dropDuplicates(["__d", "__h", "__s"])
+    marks = small_side(stored(marks, "marks"), 128)
+    rows = _keyed(docs).join(marks, F.expr("__doc <=> __d and __hash = __h and __host <=> __s"), "left").filter("coalesce(__kept, true)")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed_lines", i)), "\n")
     rows = rows.withColumn("text", F.when(F.col("__removed_lines").isNull(), F.col("text")).otherwise(left))
     if "n_chars" in cols:
