@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import tempfile
 import uuid
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -165,3 +168,25 @@ def even_keys(spark: SparkSession, parts: int) -> np.ndarray:
     rows = ids.groupBy(F.pmod(F.hash("key"), F.lit(parts)).alias("at")).agg(F.min("key").alias("key")).collect()
     found = {r["at"]: r["key"] for r in rows}
     return np.array([found.get(i, i) for i in range(parts)], dtype=np.int32)
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system: workers live on between tasks, and so would their largest need."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frugal(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, releasing memory when its task ends."""
+
+    @wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release_memory()
+
+    return run

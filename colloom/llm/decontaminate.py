@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import frugal, stored
 
 WINDOW = 13
 #: Bytes of test texts that are broadcast at once; a larger benchmark is searched in blocks of this size.
@@ -120,6 +120,7 @@ def find_test_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     for b, rows in enumerate(blocks):
         matcher = docs.sparkSession.sparkContext.broadcast(Matcher(rows, window))
 
+        @frugal
         def search(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n, all_spans, all_items = [], [], []

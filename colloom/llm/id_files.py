@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_table_path
+from .common import frugal, new_table_path
 from .token_ids import encoder
 
 MAGIC = b"CLMEF001"
@@ -134,6 +134,7 @@ class Shard:
 def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> None:
     """Every text's ids and the end id, in ascending doc_id order (nulls first, equal ids by text), as shards at path."""
 
+    @frugal
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -177,6 +178,7 @@ def read_ids(spark, path: str) -> DataFrame:
         base[part], at = at, at + n
     starts = spark.sparkContext.broadcast(base)
 
+    @frugal
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, before, data in zip(*(batch.column(x).to_pylist() for x in ("part", "ids_before", "payload"))):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, even_keys, hash_words, lengths, mix, pack, shingle_hashes, small_side, split_words, starts, stored, unpack
+from .common import WordHashes, even_keys, frugal, hash_words, lengths, mix, pack, shingle_hashes, small_side, split_words, starts, stored, unpack
 from .components import connected_components
 
 SHINGLE = 5
@@ -86,6 +86,7 @@ def prefix_length(n: int, percent: int) -> int:
 def frequent_shingles(docs: DataFrame, k: int = SHINGLE, limit: int = FREQUENT) -> list[int]:
     """Hashes of the most frequent shingles, most frequent first; at most limit come to the driver."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pile, size = WordHashes(), [], 0
 
@@ -202,6 +203,7 @@ def set_table(docs: DataFrame, frequent: list[int], k: int = SHINGLE, percent: i
     names = ["doc_id", "n", "node", "sig", "part", "postings"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
+    @frugal
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, heads, nodes, sizes, seen, held = WordHashes(), [], [], [], set(), 0
 
@@ -276,6 +278,7 @@ def candidate_components(table: DataFrame, reps: DataFrame, percent: int = PERCE
     `extra` of their prefixes stay; larger groups are stars, which join a superset of their pairs.
     """
 
+    @frugal
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, got = None, []
 
@@ -356,6 +359,7 @@ def _verified_edges(docs: DataFrame, wanted: DataFrame, frequent: list[int], k:
     names = ["component", "one", "two", "first", "sig", "s"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
 
+    @frugal
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for rows, sets in _sets(batches, known, k):
@@ -373,6 +377,7 @@ def _verified_edges(docs: DataFrame, wanted: DataFrame, frequent: list[int], k:
     dealt = asked.mapInArrow(shingles, "component long, one long, two long, first boolean, sig binary, s binary")
     dealt = dealt.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two", F.desc("first"), F.octet_length("s"), "sig")
 
+    @frugal
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, sigs, sets, left = None, [], [], 0
 

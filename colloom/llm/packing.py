@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import frugal, stored
 from .token_ids import encoder
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -101,6 +101,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_i
     Null texts are empty (one piece, the end id). Repeated rows are documents of their own; a null doc_id stays null.
     """
 
+    @frugal
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
@@ -139,6 +140,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     ranked = salted.withColumn("__in", F.row_number().over(order)).join(sizes, ["length", "__salt"])
     ranked = ranked.select(*pieces.columns, (F.col("__before") + F.col("__in") - 1).alias("__rank"))
 
+    @frugal
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("length", "__rank"))

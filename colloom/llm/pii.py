@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("card_short", "iban")
 THRESHOLD = 0.6
@@ -132,6 +134,7 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
+    @frugal
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[dict(zip(("kind", "start", "end", "score"), s)) for s in find(x)] for x in batch.column(at).to_pylist()]
@@ -145,6 +148,7 @@ def pii_report(docs: DataFrame) -> DataFrame:
     """The counts and digests of every document's spans; repeated rows give repeated results."""
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
+    @frugal
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
@@ -167,6 +171,7 @@ def redact_pii(docs: DataFrame) -> DataFrame:
     """docs with found spans replaced in text, and n_chars (where there is one) of the new text."""
     at, schema = docs.columns.index("text"), docs.schema
 
+    @frugal
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = pa.array([redact(x) for x in batch.column(at).to_pylist()], batch.schema.field(at).type)

@@ -51,7 +51,7 @@ class Words(dict):
 class Encoder:
     """Packed ids (little-endian unsigned 32-bit) of texts; its memory holds two generations of words."""
 
-    def __init__(self, path: str, bound: int = 500_000):
+    def __init__(self, path: str, bound: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
