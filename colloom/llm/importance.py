@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hash_words, rolling, split_words, stored
+from .common import WordHashes, frugal, hash_words, rolling, split_words, stored
 
 BUCKETS = 1 << 18
 CHUNK = 128
@@ -57,6 +57,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> np.ndarray
     """Logarithm of target over raw probability of each bucket; the raw counts cover all documents."""
     target = docs.sparkSession.sparkContext.broadcast(frozenset(_target_ids(labels, limit)))
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, raw, good = WordHashes(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
@@ -67,7 +68,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> np.ndarray
                     if ids[i] in target.value:
                         own = both[ends[i - a] : ends[i - a + 1]]
                         good += np.bincount(own[own >= 0], minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(raw), pa.array(good)], names=["b", "raw", "good"])
+        at = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(good[at])], names=["b", "raw", "good"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "b int, raw long, good long")
     counts = np.zeros((2, BUCKETS))
@@ -89,6 +91,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(np.append(whole, 0))
     floor = int(whole.min()) * CHUNK
 
+    @frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
