@@ -20,20 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_lower, hash_words, rolling, small_side, split_words, stored
+from .common import WordHashes, ascii_lower, frugal, hash_words, rolling, small_side, split_words, stored
 
-K = 8
-WINDOW = 16
+K = 6
+WINDOW = 10
 GAP_COST = 0.05
 MAX_GAP = 64
-#: Words between the first and last seed of a chain: an equal passage of 51 words spans at least so many.
-MIN_SPAN = 21
+#: Words between the first and last seed of a chain. The seeds of 51 equal words span 33 at least; the rest is for seeds
+#: whose first place is elsewhere.
+MIN_SPAN = 16
 MIN_WORDS = 50
 IDENTITY = 0.8
 #: Words fetched on either side of a chain, for its ends.
 MARGIN = 48
 SALTS = 256
-_BATCH_WORDS = 1 << 20
+_BATCH_WORDS = 1 << 19
 
 
 def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -50,6 +51,7 @@ def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
 def seeds(docs: DataFrame) -> DataFrame:
     """(h, doc, pos) of every document's seeds; pos counts words."""
 
+    @frugal
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
@@ -83,6 +85,8 @@ def matches(found: DataFrame) -> DataFrame:
     """(doc, src, pos, spos): each seed of a document and its first place in an earlier document."""
     first = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last"))
     first = first.filter("last != first.doc").select("h", F.col("first.doc").alias("src"), F.col("first.pos").alias("spos"))
+    # Stored, so that the join has exchanges of its own, of which Spark can split a very common seed's.
+    first = stored(first, "first-places")
     return found.join(first, "h").filter("doc != src").select("doc", "src", "pos", "spos")
 
 
@@ -149,6 +153,7 @@ def chained(found: DataFrame) -> DataFrame:
     names = ["doc", "src", "start", "end", "s_start", "s_end", "score", "pos", "spos"]
     types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
+    @frugal
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         key, xs, ys = None, [], []
@@ -240,6 +245,7 @@ def _slices(docs: DataFrame, table: DataFrame) -> DataFrame:
     asked = side0.union(side1).groupBy("d", F.pmod("id", F.lit(SALTS)).alias("salt")).agg(F.collect_list(F.struct("id", "side", "start", "end")).alias("asked")).drop("salt")
     joined = docs.select("doc", "text").join(small_side(stored(asked, "asked"), 96), F.col("doc") == F.col("d")).select("text", "asked")
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -292,6 +298,7 @@ def fuzzy_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float
     names = ["doc_id", "source_doc_id", "start", "end", "source_start", "source_end", "n_equal", "identity"]
     types = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.float64()]
 
+    @frugal
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, got = None, {}
 
