@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hash_words, lengths, mix, pack, split_words, starts, stored, unpack
+from .common import WordHashes, even_keys, frugal, hash_words, lengths, mix, pack, split_words, starts, stored, unpack
 
 #: Hash of the boundary mark; no word has it but for a clash of 64 bits.
 MARK = np.uint64(0x2545F4914F6CDD1D)
 MIN_COUNT = 2
 CUTOFF = 5
 SPREAD = 512
-BLOCK_TOKENS = 3 << 20
-_BATCH_WORDS = 1 << 20
+BLOCK_TOKENS = 5 << 19
+_BATCH_WORDS = 1 << 19
 ROW = "part int, kind int, block long, payload binary"
 _NAMES = ["part", "kind", "block", "payload"]
 _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
@@ -56,8 +56,8 @@ def held_out(doc_id: int | None) -> bool:
 class Routes:
     """The part of a pair: by its context, or by both words where the context is spread."""
 
-    def __init__(self, parts: int, spread: np.ndarray):
-        self.parts, self.spread = parts, np.sort(spread)
+    def __init__(self, keys: np.ndarray, spread: np.ndarray):
+        self.keys, self.spread = keys, np.sort(spread)
 
     def is_spread(self, v: np.ndarray) -> np.ndarray:
         if not len(self.spread):
@@ -65,11 +65,11 @@ class Routes:
         return self.spread[np.minimum(np.searchsorted(self.spread, v), len(self.spread) - 1)] == v
 
     def of_word(self, v: np.ndarray) -> np.ndarray:
-        return (mix(v) % np.uint64(self.parts)).astype(np.int32)
+        return self.keys[(mix(v) % np.uint64(len(self.keys))).astype(np.int64)]
 
     def of_pair(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         out, at = self.of_word(v), self.is_spread(v)
-        out[at] = (mix(v[at] * np.uint64(3) + w[at]) % np.uint64(self.parts)).astype(np.int32)
+        out[at] = self.keys[(mix(v[at] * np.uint64(3) + w[at]) % np.uint64(len(self.keys))).astype(np.int64)]
         return out
 
 
@@ -106,6 +106,7 @@ def common_words(docs: DataFrame, parts: int) -> np.ndarray:
     those with a share of its own.
     """
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, v, _, _ in _blocks(batches, False):
             h, n = np.unique(v, return_counts=True)
@@ -141,7 +142,7 @@ def discounts(n_r: np.ndarray, k: int = CUTOFF) -> np.ndarray:
 class Figures:
     """All of the model that is not in the tables; its size does not grow with the corpus."""
 
-    parts: int
+    keys: np.ndarray
     spread: np.ndarray
     spread_counts: np.ndarray
     spread_log_a: np.ndarray
@@ -152,7 +153,7 @@ class Figures:
     unknown: float
 
     def routes(self) -> Routes:
-        return Routes(self.parts, self.spread)
+        return Routes(self.keys, self.spread)
 
     def p_word(self, c: np.ndarray) -> np.ndarray:
         """P(w) of words counted c times."""
@@ -183,8 +184,9 @@ def train(docs: DataFrame, parts: int | None = None) -> Katz:
     spark = docs.sparkSession
     parts = parts or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    routes = Routes(parts, common_words(docs, parts))
+    routes = Routes(even_keys(spark, parts), common_words(docs, parts))
 
+    @frugal
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, v, w, _ in _blocks(batches, True):
             part = routes.of_pair(v, w)
@@ -198,6 +200,7 @@ def train(docs: DataFrame, parts: int | None = None) -> Katz:
                 s = starts(v[a:b])
                 yield row_batch([(int(part[a]), COUNTS, 0, pack(v[a:b][s], lengths(s, b - a).astype(np.uint32), w[a:b], n[a:b]))])
 
+    @frugal
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, got = None, []
 
@@ -254,9 +257,10 @@ def train(docs: DataFrame, parts: int | None = None) -> Katz:
     scale = 1.0
     if tokens and unknown <= 0:
         unknown, scale = 1 / (tokens + 1), tokens / (tokens + 1)
-    figures = Figures(parts, routes.spread, np.zeros(len(routes.spread), np.int64), np.zeros(len(routes.spread)), tokens, types, d_words * scale, d_pairs, unknown)
+    figures = Figures(routes.keys, routes.spread, np.zeros(len(routes.spread), np.int64), np.zeros(len(routes.spread)), tokens, types, d_words * scale, d_pairs, unknown)
     figures.spread_counts = np.array([spread.get(x, 0) for x in routes.spread.tolist()], dtype=np.int64)
 
+    @frugal
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, words, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for part, kind, block, payload in _parts(batches):
@@ -318,13 +322,14 @@ def _spread_backoff(model: Katz) -> None:
     """Backoff weights of spread contexts, from sums of all parts."""
     f = model.figures
 
+    @frugal
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in _loaded(batches, f):
             at = part.shared
             if at.any():
                 yield pa.RecordBatch.from_arrays([pa.array(part.ctx[at].view(np.int64)), pa.array(part.seen[at]), pa.array(part.seen_words[at])], names=["h", "p", "q"])
 
-    rows = _by_part(model.tables.union(model.answers), f.parts).mapInArrow(sums, "h long, p double, q double")
+    rows = _by_part(model.tables.union(model.answers), len(f.keys)).mapInArrow(sums, "h long, p double, q double")
     found = {r["h"] & (2**64 - 1): (r["p"], r["q"]) for r in rows.groupBy("h").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).collect()}
     seen = np.array([found.get(x, (0.0, 0.0)) for x in f.spread.tolist()]).reshape(-1, 2)
     f.spread_log_a = np.stack(log_backoff(seen[:, 0], seen[:, 1], np.maximum(f.spread_counts, 1)), axis=1)
@@ -358,6 +363,7 @@ def score(docs: DataFrame, model: Katz) -> DataFrame:
     figures = docs.sparkSession.sparkContext.broadcast(f)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
+    @frugal
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -374,9 +380,10 @@ def score(docs: DataFrame, model: Katz) -> DataFrame:
                 yield row_batch([(int(part[a]), TOKENS, block, pack(pv[s][sv], lengths(sv, len(s)).astype(np.uint32), pw[s], lengths(s, b - a).astype(np.uint32), pd))])
             ids = np.array([0 if k is None else k for k in keys], dtype=np.int64)
             null = np.array([k is None for k in keys], dtype=np.uint8)
-            yield row_batch([(block % f.parts, DOCUMENTS, block, pack(ids, null))])
+            yield row_batch([(int(f.keys[block % len(f.keys)]), DOCUMENTS, block, pack(ids, null))])
             block += 1
 
+    @frugal
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = figures.value
         total = np.log10(f.tokens + 0.5 * (f.types + 1))
@@ -407,6 +414,7 @@ def score(docs: DataFrame, model: Katz) -> DataFrame:
             out = [np.bincount(where, np.repeat(x, n), len(docs_)) for x in (base, gain, (c > 0)[owner])]
             yield row_batch([(0, SUMS, block, pack(docs_, np.bincount(where).astype(np.uint32), out[2].astype(np.uint32), out[0], out[1]))])
 
+    @frugal
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, null, out = None, None, None, None
 
@@ -430,7 +438,7 @@ def score(docs: DataFrame, model: Katz) -> DataFrame:
                     total[got[0]] += part
         yield from close()
 
-    read = _by_part(model.tables.union(model.answers).union(docs.mapInArrow(tokens, ROW)), f.parts)
+    read = _by_part(model.tables.union(model.answers).union(docs.mapInArrow(tokens, ROW)), len(f.keys))
     partial = read.mapInArrow(sums, ROW)
     dealt = partial.repartition("block").sortWithinPartitions("block", "kind")
     return dealt.mapInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
