@@ -5,14 +5,17 @@
 2. Each seed is joined with its first place in the corpus (smallest doc_id), never with all others: a
    seed in a million documents makes a million matches. The first places come from an aggregate with
    map-side combine, and the join may be split by Spark where one seed is very common.
-3. The matches of a document with one source are chained: a Fenwick tree over source places holds the
-   best chain so far, the words passed over on either side cost GAP_COST each.
+3. The matches of a document with one source are chained: a tree over source places holds the best
+   chain so far of each place, of matches within MAX_GAP words only; the words passed over on either
+   side cost GAP_COST each.
 4. The words of both sides are fetched for chains that are long enough, gaps between seeds and both
    ends are aligned, and passages of MIN_WORDS with enough equal words are returned.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,48 +93,74 @@ def matches(found: DataFrame) -> DataFrame:
     return found.join(first, "h").filter("doc != src").select("doc", "src", "pos", "spos")
 
 
+_NONE = (float("-inf"), -1)
+
+
 class MaxTree:
-    """Fenwick tree of the best (value, index) over a prefix of ranks."""
+    """Best live (value, index) over a range of ranks; the oldest match of a rank can be taken out."""
 
     def __init__(self, n: int):
-        self.value, self.index = [float("-inf")] * (n + 1), [-1] * (n + 1)
+        self.n, self.live = n, [deque() for _ in range(n)]
+        self.best_of = [_NONE] * (2 * n)
+
+    def _set(self, rank: int) -> None:
+        t, i = self.best_of, rank + self.n
+        t[i] = self.live[rank][0] if self.live[rank] else _NONE
+        while i > 1:
+            i >>= 1
+            t[i] = max(t[2 * i], t[2 * i + 1])
 
     def put(self, rank: int, value: float, index: int) -> None:
-        i = rank + 1
-        while i < len(self.value):
-            if value > self.value[i]:
-                self.value[i], self.index[i] = value, index
-            i += i & -i
-
-    def best(self, ranks: int) -> tuple[float, int]:
-        """Over ranks below `ranks`."""
-        value, index, i = float("-inf"), -1, ranks
-        while i:
-            if self.value[i] > value:
-                value, index = self.value[i], self.index[i]
-            i -= i & -i
-        return value, index
+        live = self.live[rank]
+        while live and live[-1][0] <= value:
+            live.pop()
+        live.append((value, index))
+        if len(live) == 1:
+            self._set(rank)
+
+    def drop(self, rank: int, index: int) -> None:
+        """Takes a match out; matches of a rank must go in the order in which they came."""
+        live = self.live[rank]
+        if live and live[0][1] == index:
+            live.popleft()
+            self._set(rank)
+
+    def best(self, low: int, high: int) -> tuple[float, int]:
+        """Over ranks from low to below high."""
+        t, found, low, high = self.best_of, _NONE, low + self.n, high + self.n
+        while low < high:
+            if low & 1:
+                found = max(found, t[low])
+                low += 1
+            if high & 1:
+                high -= 1
+                found = max(found, t[high])
+            low, high = low >> 1, high >> 1
+        return found
 
 
 def chains(pos: list[int], spos: list[int], k: int = K, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> list[tuple[float, list[int]]]:
     """(score, match numbers) of collinear chains, best first; no match is in two.
 
-    pos ascends strictly. A chain's score is k for each match less the gap costs; a match starts a
-    chain of its own where going on from the best earlier one gains nothing.
+    pos ascends. A chain's score is k for each match less the gap costs; a match goes on from the best
+    of the earlier ones within max_gap words on both sides, or starts a chain where that gains nothing.
     """
     ys = sorted(set(spos))
     rank = {y: i for i, y in enumerate(ys)}
     tree = MaxTree(len(ys))
-    score, back = [0.0] * len(pos), [-1] * len(pos)
+    score, back = [float(k)] * len(pos), [-1] * len(pos)
+    near, ready = 0, 0  # matches from near to below ready are in the tree
     for i, (x, y) in enumerate(zip(pos, spos)):
-        value, j = tree.best(rank[y])
+        while pos[ready] < x:
+            tree.put(rank[spos[ready]], score[ready] + gap_cost * (pos[ready] + spos[ready]), ready)
+            ready += 1
+        while near < ready and x - pos[near] > max_gap + k:
+            tree.drop(rank[spos[near]], near)
+            near += 1
+        value, j = tree.best(bisect_left(ys, y - max_gap - k), rank[y])
         gain = value - gap_cost * (x + y)
-        score[i] = k + max(0.0, gain)
-        if gain > 0 and x - pos[j] <= max_gap + k and y - spos[j] <= max_gap + k:
-            back[i] = j
-        else:
-            score[i] = float(k)
-        tree.put(rank[y], score[i] + gap_cost * (x + y), i)
+        if gain > 0:
+            score[i], back[i] = k + gain, j
     used, out = [False] * len(pos), []
     for i in sorted(range(len(pos)), key=lambda i: (-score[i], i)):
         path, j = [], i

@@ -48,6 +48,19 @@ def test_best_chain_is_best(pairs):
     assert sorted(i for _, path in found for i in path) == list(range(len(pairs)))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), max_size=40, unique=True), st.integers(0, 30))
+def test_chains_go_on_within_the_gap(pairs, max_gap):
+    pairs.sort()
+    found = D.chains([x for x, _ in pairs], [y for _, y in pairs], k=4, gap_cost=0.05, max_gap=max_gap)
+    best = []
+    for i, (x, y) in enumerate(pairs):
+        near = [best[j] - 0.05 * (x - a + y - b) for j, (a, b) in enumerate(pairs[:i]) if 0 < x - a <= max_gap + 4 and 0 < y - b <= max_gap + 4]
+        best.append(4 + max(near + [0.0]))
+    assert max((s for s, _ in found), default=0.0) == pytest.approx(max(best, default=0.0))
+    assert sorted(i for _, path in found for i in path) == list(range(len(pairs)))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=12), st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=12))
 def test_gap_alignment_is_longest_common_subsequence(a, b):
@@ -88,6 +101,15 @@ def test_passages(spark):
     assert all(got[20 + i, 8]["n_equal"] == 200 for i in range(30))
 
 
+def test_second_passage_of_a_pair(spark):
+    r = random.Random(8)
+    long, second = prose(r, 400), prose(r, 80)
+    docs = {1: long + prose(r, 100) + second, 2: long + prose(r, 150) + second, 3: long[:200] + prose(r, 90) + long[200:]}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string")
+    got = sorted((x["doc_id"], x["source_doc_id"], x["start"], x["end"]) for x in D.fuzzy_passages(df).collect())
+    assert got == [(2, 1, 0, 400), (2, 1, 550, 630), (3, 1, 0, 200), (3, 1, 290, 490)]
+
+
 def test_shuffled_requests(spark, monkeypatch):
     import colloom.llm.common as common
 
