@@ -10,6 +10,9 @@
    side cost GAP_COST each.
 4. The words of both sides are fetched for chains that are long enough, gaps between seeds and both
    ends are aligned, and passages of MIN_WORDS with enough equal words are returned.
+5. Seeds that occur earlier but are in no passage are looked up once more, in runs of up to 16 of them,
+   each joined with its own first place: what single seeds of a passage share with several earlier
+   documents, a longer run shares with fewer. Steps 3 and 4 follow for these matches.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_lower, frugal, hash_words, rolling, small_side, split_words, stored
+from .common import WordHashes, ascii_lower, frugal, hash_words, mix, rolling, small_side, split_words, starts, stored
 
 K = 6
 WINDOW = 10
@@ -37,6 +40,10 @@ IDENTITY = 0.8
 #: Words fetched on either side of a chain, for its ends.
 MARGIN = 48
 SALTS = 256
+#: Numbers of neighbouring seeds that are looked up together where single ones led to no passage. 16 span about 88 words.
+RUNS = (2, 3, 4, 6, 8, 12, 16)
+#: Occurrences of a run in text that goes on repeating it are told apart up to this number.
+REPEATS = 64
 _BATCH_WORDS = 1 << 19
 
 
@@ -85,12 +92,88 @@ def seeds(docs: DataFrame) -> DataFrame:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """(doc, src, pos, spos): each seed of a document and its first place in an earlier document."""
+    """(h, doc, src, pos, spos): each seed of a document and its first place in an earlier document."""
     first = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last"))
     first = first.filter("last != first.doc").select("h", F.col("first.doc").alias("src"), F.col("first.pos").alias("spos"))
     # Stored, so that the join has exchanges of its own, of which Spark can split a very common seed's.
     first = stored(first, "first-places")
-    return found.join(first, "h").filter("doc != src").select("doc", "src", "pos", "spos")
+    return found.join(first, "h").filter("doc != src").select("h", "doc", "src", "pos", "spos")
+
+
+def uncovered(matched: DataFrame, passages: DataFrame) -> DataFrame:
+    """(h, doc, pos): matched seeds that no passage of their document holds."""
+    spans = passages.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    held = F.exists("spans", lambda s: (s["start"] <= F.col("pos")) & (F.col("pos") + K <= s["end"]))
+    return matched.join(spans, "doc", "left").filter(~F.coalesce(held, F.lit(False))).select("h", "doc", "pos")
+
+
+def numbered(doc: np.ndarray, pos: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Keys of runs, with their number where a document repeats one within MIN_WORDS, so that repetitions match in order."""
+    order = np.lexsort((key, doc))
+    d, p, k, i = doc[order], pos[order], key[order], np.arange(len(order))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (p[1:] - p[:-1] >= MIN_WORDS)
+    number = (i - np.maximum.accumulate(np.where(new, i, 0))) % REPEATS
+    out = key.copy()
+    out[order] = np.where(number > 0, mix(k + number.astype(np.uint64)), k)
+    return out
+
+
+def seed_runs(found: DataFrame, left: DataFrame) -> DataFrame:
+    """(h, doc, pos, last, asked) of runs of RUNS neighbouring seeds, of all documents that have seeds of left.
+
+    Only hashes that left has count, so an edit's own seeds do not part a run. h is the run's hash, pos
+    and last are its outer seeds' places; asked: one of its seeds is in left.
+    """
+    known = left.select("h").distinct()
+    places = found.join(small_side(stored(known, "open-seeds"), 16), "h", "left_semi").withColumn("asked", F.lit(0))
+    rows = places.unionByName(left.withColumn("asked", F.lit(1))).select("doc", "pos", "h", "asked")
+    dealt = rows.repartition("doc").sortWithinPartitions("doc", "pos")
+
+    def runs_of(doc: np.ndarray, pos: np.ndarray, h: np.ndarray, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = starts(doc, pos)
+        asked = np.maximum.reduceat(asked, at)
+        doc, pos, h = doc[at], pos[at].astype(np.int64), h[at].view(np.uint64)
+        apart = np.ones(len(doc), dtype=bool)
+        apart[1:] = (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > MAX_GAP + K)
+        part, total = np.cumsum(apart), np.append(0, np.cumsum(asked))
+        for n in RUNS:
+            if n > len(doc):
+                break
+            m = len(doc) - n + 1
+            whole = np.flatnonzero(part[:m] == part[n - 1 :])
+            key = numbered(doc[whole], pos[whole], rolling(h, n)[whole])
+            cols = [key.view(np.int64), doc[whole], pos[whole].astype(np.int32), pos[whole + n - 1].astype(np.int32), total[whole + n] > total[whole]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "doc", "pos", "last", "asked"])
+
+    @frugal
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            new = np.flatnonzero(cols[0] != cols[0][-1])
+            cut = int(new[-1]) + 1 if len(new) else 0  # the last document may go on in the next batch
+            if kept and (cut or kept[-1][0][-1] != cols[0][0]):
+                yield from runs_of(*(np.concatenate(x) for x in zip(*kept, [c[:cut] for c in cols])))
+                kept = []
+            elif cut:
+                yield from runs_of(*(c[:cut] for c in cols))
+            kept.append([c[cut:] for c in cols])
+        if kept:
+            yield from runs_of(*(np.concatenate(x) for x in zip(*kept)))
+
+    return dealt.mapInArrow(find, "h long, doc long, pos int, last int, asked boolean")
+
+
+def run_matches(found: DataFrame, left: DataFrame) -> DataFrame:
+    """(doc, src, pos, spos): outer seeds of runs that have a seed of left, and of the run's first place in an earlier document."""
+    runs = stored(seed_runs(found, left), "runs")
+    first = runs.groupBy("h").agg(F.min(F.struct("doc", "pos", "last")).alias("first"), F.max("doc").alias("end")).filter("end != first.doc").select("h", "first")
+    pairs = runs.filter("asked").join(stored(first, "first-runs"), "h").filter("doc != first.doc")
+    ends = F.array(F.struct(F.col("pos").alias("pos"), F.col("first.pos").alias("spos")), F.struct(F.col("last").alias("pos"), F.col("first.last").alias("spos")))
+    return pairs.select("doc", F.col("first.doc").alias("src"), F.inline(ends)).distinct()
 
 
 _NONE = (float("-inf"), -1)
@@ -178,7 +261,7 @@ CHAIN_SCHEMA = "doc long, src long, start int, end int, s_start int, s_end int,
 
 def chained(found: DataFrame) -> DataFrame:
     """Chains of each (doc, src) that span MIN_SPAN words on both sides."""
-    dealt = found.repartition("doc", "src").sortWithinPartitions("doc", "src", "pos", "spos")
+    dealt = found.select("doc", "src", "pos", "spos").repartition("doc", "src").sortWithinPartitions("doc", "src", "pos", "spos")
     names = ["doc", "src", "start", "end", "s_start", "s_end", "score", "pos", "spos"]
     types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
@@ -319,7 +402,18 @@ def fuzzy_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float
     within it are not matched with each other. An empty table gives an empty result.
     """
     rows = _one_row_each(docs)
-    table = chained(matches(stored(seeds(rows), "seeds")))
+    found = stored(seeds(rows), "seeds")
+    matched = stored(matches(found), "matches")
+    passages = stored(_aligned(rows, matched, min_words, identity), "passages")
+    left = stored(uncovered(matched, passages), "uncovered")
+    if left.isEmpty():
+        return passages
+    return passages.union(_aligned(rows, run_matches(found, left), min_words, identity)).distinct()
+
+
+def _aligned(rows: DataFrame, matched: DataFrame, min_words: int, identity: float) -> DataFrame:
+    """The passages that matches (doc, src, pos, spos) lead to."""
+    table = chained(matched)
     table = stored(table.withColumn("id", F.xxhash64("doc", "src", "start", "s_start")), "chains")
     sides = _slices(rows, table.select("id", "doc", "src", "start", "end", "s_start", "s_end"))
     pairs = table.select("id", F.lit(-1).alias("side"), "doc", "src", "pos", "spos", F.lit(0).alias("first"), F.lit(None).cast("binary").alias("words"))

@@ -110,6 +110,21 @@ def test_second_passage_of_a_pair(spark):
     assert got == [(2, 1, 0, 400), (2, 1, 550, 630), (3, 1, 0, 200), (3, 1, 290, 490)]
 
 
+def test_seeds_that_occur_first_elsewhere(spark):
+    r = random.Random(9)
+    t, u = prose(r, 60), prose(r, 60)
+    edited = list(u)
+    edited[29] = "new"
+    docs = {
+        1: prose(r, 9) + t[:26] + prose(r, 30), 2: prose(r, 20) + t[14:44], 3: t[30:] + prose(r, 9), 4: u[:25], 5: prose(r, 70) + u[12:40] + prose(r, 70), 6: u[33:] + prose(r, 50) + u[5:30],
+        100: prose(r, 70) + t + prose(r, 30) + u, 200: prose(r, 11) + t, 300: edited + prose(r, 30),
+    }
+    got = passages(spark, [(d, " ".join(x)) for d, x in docs.items()])
+    assert set(got) == {(200, 100), (300, 100)}
+    assert [got[200, 100][x] for x in ("start", "end", "source_start", "n_equal")] == [11, 71, 70, 60]
+    assert got[300, 100]["n_equal"] == 59
+
+
 def test_shuffled_requests(spark, monkeypatch):
     import colloom.llm.common as common
 
