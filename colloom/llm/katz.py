@@ -32,7 +32,7 @@ from .common import WordHashes, even_keys, frugal, hash_words, lengths, mix, pac
 
 #: Hash of the boundary mark; no word has it but for a clash of 64 bits.
 MARK = np.uint64(0x2545F4914F6CDD1D)
-MIN_COUNT = 2
+MIN_COUNT = 1
 CUTOFF = 5
 SPREAD = 512
 BLOCK_TOKENS = 5 << 19

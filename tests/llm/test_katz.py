@@ -106,6 +106,13 @@ def test_small_blocks(spark, monkeypatch):
     same(run(spark, rows), rows)
 
 
+def test_pairs_seen_once_are_in_the_model(spark, monkeypatch):
+    rows = corpus(6)
+    got = run(spark, rows)
+    monkeypatch.setattr(Kz, "MIN_COUNT", 1)
+    same(got, rows)
+
+
 def test_probabilities_add_up():
     rows = corpus(4, 200)
     m = Brute(rows)
