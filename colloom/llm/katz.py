@@ -72,6 +72,13 @@ class Routes:
         out[at] = self.keys[(mix(v[at] * np.uint64(3) + w[at]) % np.uint64(len(self.keys))).astype(np.int64)]
         return out
 
+    def asked(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of pairs whose counts other parts know, and these parts, in whose order answers come."""
+        words = np.unique(w[~self.is_spread(w)])
+        owner = self.of_word(words)
+        order = np.argsort(owner, kind="stable")
+        return words[order], owner[order]
+
 
 def _blocks(batches: Iterator[pa.RecordBatch], train_only: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
     """(doc_ids, contexts, next words, document numbers) of blocks of documents."""
@@ -224,11 +231,7 @@ def train(docs: DataFrame, parts: int | None = None) -> Katz:
             kept = np.add.reduceat(keep, s).astype(np.uint32)
             rows.append((now, CONTEXTS, 0, pack(ctx, c.astype(np.uint32) if c.max() < 2**32 else c, kept)))
             rows.append((now, PAIRS, 0, pack(w[keep], r[keep].astype(np.uint32) if r.max() < 2**32 else r[keep])))
-            owner = routes.of_word(w)
-            asked = np.unique(w[keep & ~routes.is_spread(w)])
-            owner = routes.of_word(asked)
-            order = np.argsort(owner, kind="stable")
-            asked, owner = asked[order], owner[order]
+            asked, owner = routes.asked(w[keep])
             cuts = np.append(starts(owner), len(owner))
             rows += [(int(owner[a]), ASKED, now, pack(asked[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
             yield row_batch(rows)
@@ -270,7 +273,7 @@ def train(docs: DataFrame, parts: int | None = None) -> Katz:
                 words, counts, _ = unpack(payload)
                 continue
             (asked,) = unpack(payload)
-            yield row_batch([(block, ANSWERS, part, pack(asked, _find(words, counts, asked).astype(np.uint32)))])
+            yield row_batch([(block, ANSWERS, part, pack(_find(words, counts, asked).astype(np.uint32)))])
 
     wanted = tables.filter(F.col("kind").isin(CONTEXTS, ASKED))
     answers = stored(_by_part(wanted, parts).mapInArrow(answer, ROW), "katz-words")
@@ -294,8 +297,8 @@ class Part:
     def __init__(self, f: Figures, rows: dict[int, list[list[np.ndarray]]]):
         ctx, c, kept = rows[CONTEXTS][0] if rows.get(CONTEXTS) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         w, r = rows[PAIRS][0] if rows.get(PAIRS) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        words = np.concatenate([x[0] for x in rows.get(ANSWERS, [])] or [np.zeros(0, np.uint64)])
-        counts = np.concatenate([x[1] for x in rows.get(ANSWERS, [])] or [np.zeros(0, np.int64)]).astype(np.int64)
+        words, _ = f.routes().asked(w)
+        counts = np.concatenate([x[0] for x in rows.get(ANSWERS, [])] or [np.zeros(0, np.int64)]).astype(np.int64)
         order = np.argsort(words)
         c_w = _find(words[order], counts[order], w)
         spread = f.routes().is_spread(w)
