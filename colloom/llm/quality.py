@@ -1,10 +1,9 @@
 r"""Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Normalised lines are hashed, and for each host (the column source) the distinct documents with a line
-are counted. Near copies would make any line of a much copied text frequent, so documents with a line
-count as one if the smallest hash of their other lines is the same. A line in MIN_DOCS documents and in MIN_SHARE of the
-host's is boilerplate and is removed; a document is rejected if what remains is under MIN_WORDS words
-or under a fifth of its words.
+are counted; documents are distinct if their texts are, so exact copies count once. A line in MIN_DOCS
+documents and in MIN_SHARE_PERCENT of the host's that have lines is boilerplate and is removed; a
+document is rejected if what remains is under MIN_WORDS words or under a fifth of its words.
 """
 
 from __future__ import annotations
@@ -93,12 +92,9 @@ def boilerplate_lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = _keyed(docs.select("doc_id", "text", "source")).select(*_KEY, _lines(text).alias("l"))
     rows = rows.select(*_KEY, F.transform("l", lambda x: F.struct(x["i"].alias("i"), _line_key(x["line"]).alias("key"), F.size(_words(x["line"])).alias("n"))).alias("l"))
-    rows = rows.withColumn("first", F.array_min(F.transform("l", lambda x: x["key"])))
-    rows = rows.withColumn("second", F.array_min(F.filter(F.transform("l", lambda x: x["key"]), lambda k: k != F.col("first"))))
-    copy = F.coalesce(F.when(F.col("key") == F.col("first"), F.col("second")).otherwise(F.col("first")), F.lit(-1))
-    lines = stored(rows.select(*_KEY, "first", "second", F.inline("l")).withColumn("copy", copy).drop("second"), "lines")
-    seen = lines.groupBy("__host", "key", "copy").agg(F.lit(1).alias("one")).groupBy("__host", "key").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= MIN_DOCS)
-    hosts = lines.groupBy("__host", "first").agg(F.lit(1).alias("one")).groupBy("__host").agg(F.count(F.lit(1)).alias("all"))
+    lines = stored(rows.select(*_KEY, F.inline("l")), "lines")
+    seen = lines.select("__host", "key", "__hash").distinct().groupBy("__host", "key").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= MIN_DOCS)
+    hosts = lines.select("__host", "__hash").distinct().groupBy("__host").agg(F.count(F.lit(1)).alias("all"))
     limit = seen.alias("s").join(hosts.alias("h"), F.expr("s.__host <=> h.__host")).filter(F.col("docs") * 100 >= F.col("all") * MIN_SHARE_PERCENT)
     often = limit.select(F.col("s.__host").alias("host"), F.col("key").alias("often"))
     found = lines.join(often, F.expr("__host <=> host and key = often")).select(*_KEY, "i", "n").distinct()
@@ -106,7 +102,7 @@ def boilerplate_lines(docs: DataFrame) -> DataFrame:
 
 
 def _with_lines(rows: DataFrame, removed: DataFrame) -> DataFrame:
-    r = small_side(stored(removed, "removed").toDF("__d", "__h", "__s", "__removed", "__removed_lines"), 128)
+    r = small_side(stored(removed, "removed").toDF("__d", "__h", "__s", "__removed", "__removed_lines"), 128 + 4 * F.size("__removed_lines"))
     return rows.join(r, F.expr("__doc <=> __d and __hash = __h and __host <=> __s"), "left").drop("__d", "__h", "__s")
 
 
@@ -129,6 +125,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The kept documents with their own columns; boilerplate lines are removed from text, n_chars follows.
 
+    Null, empty and short texts go; repeated rows stay or go together; an empty table gives an empty result.
     Verdicts are stored first: a filter on their expressions would copy them into every use. Only
     documents that are rejected or lose lines are joined with the texts.
     """
@@ -138,7 +135,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     kept = (~base_failed() & ~_depleted()).alias("__kept")
     judged = stored(judged.select(*_KEY, kept, "__removed_lines"), "verdicts").filter("not __kept or __removed_lines is not null")
     marks = judged.toDF("__d", "__h", "__s", "__kept", "__removed_lines").dropDuplicates(["__d", "__h", "__s"])
-    marks = small_side(stored(marks, "marks"), 128)
+    marks = small_side(stored(marks, "marks"), 128 + 4 * F.coalesce(F.size("__removed_lines"), F.lit(0)))
     rows = _keyed(docs).join(marks, F.expr("__doc <=> __d and __hash = __h and __host <=> __s"), "left").filter("coalesce(__kept, true)")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed_lines", i)), "\n")
     rows = rows.withColumn("text", F.when(F.col("__removed_lines").isNull(), F.col("text")).otherwise(left))
@@ -154,13 +151,11 @@ w AS (SELECT row_no, doc_id, source, text, CASE WHEN text = '' THEN [] ELSE list
 windows AS (SELECT row_no, i, array_to_string(words[i:i+4], ' ') AS win FROM (SELECT row_no, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
 places AS (SELECT row_no, i FROM (SELECT row_no, i, count(*) OVER (PARTITION BY row_no, win) AS n FROM windows) WHERE n > 1),
 covered AS (SELECT row_no, sum(least(5, coalesce(next_i - i, 5))) AS n FROM (SELECT row_no, i, lead(i) OVER (PARTITION BY row_no ORDER BY i) AS next_i FROM places) GROUP BY row_no),
-lines AS (SELECT row_no, source, ('0x' || substr(md5(translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 1, 15))::BIGINT AS key,
+lines AS (SELECT row_no, source, text, ('0x' || substr(md5(translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 1, 15))::BIGINT AS key,
   len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x != '')) AS n
-  FROM (SELECT row_no, source, unnest(lines) AS line FROM w)),
-firsts AS (SELECT row_no, source, min(key) AS first FROM lines GROUP BY row_no, source),
-seconds AS (SELECT row_no, min(key) AS second FROM lines JOIN firsts USING (row_no) WHERE key != first GROUP BY row_no),
-seen AS (SELECT l.source, key, count(DISTINCT coalesce(CASE WHEN key = first THEN second ELSE first END, -1)) AS docs FROM lines l JOIN firsts USING (row_no) LEFT JOIN seconds USING (row_no) GROUP BY l.source, key),
-hosts AS (SELECT source, count(DISTINCT first) AS docs FROM firsts GROUP BY source),
+  FROM (SELECT row_no, source, text, unnest(lines) AS line FROM w)),
+seen AS (SELECT source, key, count(DISTINCT text) AS docs FROM lines GROUP BY source, key),
+hosts AS (SELECT source, count(DISTINCT text) AS docs FROM lines GROUP BY source),
 often AS (SELECT s.source, key FROM seen s JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source WHERE s.docs >= 50 AND s.docs * 100 >= 2 * h.docs),
 removed AS (SELECT row_no, sum(n) AS removed FROM lines l JOIN often o ON l.key = o.key AND l.source IS NOT DISTINCT FROM o.source GROUP BY row_no),
 f AS (SELECT w.row_no, doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
