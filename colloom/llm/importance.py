@@ -3,9 +3,9 @@
 Words and word pairs are hashed to BUCKETS features. A target model is fitted to labelled good
 documents (a bounded sample), a raw model to the whole corpus; the target's counts are smoothed by
 SMOOTHING counts drawn from the raw model, so that a feature too rare to judge has ratio 1. A document
-weighs what its least likely stretch of CHUNK features weighs, the ratio of both models'
-probabilities, so that neither length nor a good remainder hides a bad passage. Gumbel noise, fixed by doc_id and seed, is added to its logarithm,
-and the top k documents are the sample: drawn without replacement in proportion to the weights.
+weighs the ratio of both models' probabilities of all its features. Gumbel noise, fixed by doc_id and
+seed, is added to the ratio's logarithm, and the top k documents are the sample: drawn without
+replacement in proportion to the weights.
 """
 
 from __future__ import annotations
@@ -17,10 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, frugal, hash_words, rolling, split_words, stored
+from .common import WordHashes, frugal, hash_words, rolling, small_batches, split_words, stored
 
 BUCKETS = 1 << 18
-CHUNK = 128
 #: Labelled documents that the target model is fitted to, at most: those of the smallest hash.
 LABELLED = 50_000
 SMOOTHING = 10.0
@@ -83,13 +82,12 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> np.ndarray
 def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight and sort_key (log_weight plus Gumbel noise) of every row.
 
-    A text of fewer than CHUNK features weighs what CHUNK features of its mean ratio do. One without
-    words has no features: its log_weight is that of CHUNK features of the lowest ratio.
+    log_weight: the logarithm of target over raw probability of the whole text. A null text or one
+    without words has no features and is as likely in both models: 0.
     """
     # Whole multiples of 2**-32: sums are exact, whatever rows a task works through together.
     whole = np.round(ratio * 2.0**32).astype(np.int64)
     table = docs.sparkSession.sparkContext.broadcast(np.append(whole, 0))
-    floor = int(whole.min()) * CHUNK
 
     @frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,15 +96,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
             out = np.empty(batch.num_rows)
             for a, b, both, ends in _features(batch.column(1).to_pylist(), known):
                 sums = np.concatenate([[0], np.cumsum(table.value[both])])
-                n = (ends[1:] - ends[:-1]) - 1
-                own = np.where(n > 0, (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(n, 1) * CHUNK, floor)
-                long = np.flatnonzero(n > CHUNK)
-                if len(long):
-                    stretches = np.append(sums[CHUNK:] - sums[:-CHUNK], np.iinfo(np.int64).max)
-                    first = ends[:-1][long]
-                    cuts = np.stack([first, first + n[long] - CHUNK + 1], axis=1).ravel()
-                    own[long] = np.minimum.reduceat(stretches, cuts)[::2]
-                out[a:b] = own * 2.0**-32
+                out[a:b] = (sums[ends[1:]] - sums[ends[:-1]]) * 2.0**-32
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "log_weight"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, log_weight double")
@@ -147,6 +137,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     like others, share their noise, and cannot be labelled. Without labels the weights are those of an
     empty target model, and all rows are kept. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = stored(weigh(docs, fit(docs, labels, limit), seed), "weights")
     if k is None:
         by_doc = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))

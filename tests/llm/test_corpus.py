@@ -142,7 +142,7 @@ def test_no_passages(spark):
 # --- importance -------------------------------------------------------------------------------
 
 
-def test_weights_equal_a_plain_sum(spark, monkeypatch):
+def test_weights_equal_a_plain_sum(spark):
     r = random.Random(1)
     texts = [" ".join(r.choices("abcdefgh", k=r.randint(0, 30))) for _ in range(40)] + [None, ""]
     rows = [(i, t, 0.5) for i, t in enumerate(texts)]
@@ -162,15 +162,20 @@ def test_weights_equal_a_plain_sum(spark, monkeypatch):
             good[b] += i < 30 and i % 2 == 1 and i % 7 != 0 and i != 3
     want = np.log((good + Im.SMOOTHING) / (good.sum() * raw / raw.sum() + Im.SMOOTHING))
     np.testing.assert_allclose(ratio, want)
-    monkeypatch.setattr(Im, "CHUNK", 16)
     for x in Im.weigh(df, ratio).collect():
-        b = buckets(texts[x["doc_id"]])
-        words = (len(b) + 1) // 2
-        b = [y for i in range(words) for y in (b[i : i + 1] + b[words + i : words + i + 1])]  # a word, then its pair
-        if len(b) > 16:
-            assert x["log_weight"] == pytest.approx(min(sum(want[b[i : i + 16]]) for i in range(len(b) - 15)), abs=1e-6)
-        else:
-            assert x["log_weight"] == pytest.approx(np.mean(want[b]) * 16 if b else want.min() * 16, abs=1e-6)
+        assert x["log_weight"] == pytest.approx(sum(want[y] for y in buckets(texts[x["doc_id"]])), abs=1e-6)
+    # The whole query: k is the labels' share of good ones, the largest keys are kept, ties with the k-th too.
+    out = Im.resample(df, labels).collect()
+    k = round(np.mean([i % 2 == 1 and i % 7 != 0 and i != 3 for i in range(30)]) * len(rows))
+    keys = sorted((x["sort_key"] for x in out), reverse=True)
+    assert all(x["kept"] == (x["sort_key"] >= keys[k - 1]) for x in out) and sum(x["kept"] for x in out) == k
+
+
+def test_ties_at_the_last_place_are_kept(spark):
+    df = spark.createDataFrame([(1, "a b c")] * 5 + [(2, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = [r["doc_id"] for r in Im.resample(df, labels, k=1).collect() if r["kept"]]
+    assert kept in ([1] * 5, [2])
 
 
 @pytest.mark.parametrize("k", [0, 1, 7, 199, 200, 500])
@@ -211,7 +216,7 @@ def test_stage_names_and_columns(spark, tmp_path):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "near_duplicates", "decontamination", "personal_data", "best_fit_packing"]
     good = " ".join(f"word{i}" for i in range(40))
-    rows = [(1, good, "en", "s", 1, "x"), (2, good + " end", "en", None, 2, "y"), (3, "tiny", "en", "s", 3, "z"), (4, None, None, None, None, None), (None, good + " mail a@b.co", "en", "s", 5, "n"), (1, good, "en", "s", 1, "x")]
+    rows = [(1, good, "en", "s", 1, "x"), (2, good + " end", "en", None, 2, "y"), (3, "tiny", "en", "s", 3, "z"), (4, None, None, None, None, None), (None, " ".join(f"other{i}" for i in range(40)) + " mail a@b.co", "en", "s", 5, "n"), (1, good, "en", "s", 1, "x")]
     docs = spark.createDataFrame(rows, DOCS + ", n_words string")
     spark.createDataFrame([(1, "q " * 20)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
