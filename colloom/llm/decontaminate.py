@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, stored
+from .common import frugal, small_batches, stored
 
 WINDOW = 13
-#: Bytes of test texts that are broadcast at once; a larger benchmark is searched in blocks of this size.
-BLOCK_BYTES = 32 << 20
+#: Windows of test words that are broadcast at once (some 60 MB of tables); a larger benchmark is searched in blocks.
+BLOCK_WINDOWS = 1 << 17
 # Bytes that part words, \x00-\x2F \x3A-\x60 \x7B-\x7F after A-Z were lower-cased.
 _TO_WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -60,14 +60,17 @@ class WuManber:
 
 
 class Matcher:
-    """Windows of test items, by length, each with the items that hold it."""
+    """Windows of (item, words), by length, each with the items that hold it."""
 
-    def __init__(self, items: Iterable[tuple[object, str | None]], window: int = WINDOW):
-        holders: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            w = words(text)
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int = WINDOW):
+        holders: dict[tuple[bytes, ...], list[str]] = {}
+        known: dict[bytes, bytes] = {}
+        for item, w in items:
+            w = [known.setdefault(x, x) for x in w]
             for i in range(max(1, len(w) - window + 1) if w else 0):
-                holders.setdefault(tuple(w[i : i + window]), set()).update([] if item is None else [str(item)])
+                held = holders.setdefault(tuple(w[i : i + window]), [])
+                if item is not None and (not held or held[-1] != item):
+                    held.append(item)
         by_length: dict[int, list[tuple[bytes, ...]]] = {}
         for p in holders:
             by_length.setdefault(len(p), []).append(p)
@@ -79,7 +82,7 @@ class Matcher:
         for search, held in self.searches:
             for start, k in search.find(text):
                 spans.append((start, start + search.m))
-                items |= held[k]
+                items.update(held[k])
         return merged(spans), items
 
 
@@ -93,12 +96,20 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    rows = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n = max(1, -(-size // block_bytes))
-    for b in range(n):
-        yield [(r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == b).collect()]
+def _blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """(item, words) of all items, in blocks of at most `most` windows; a longer item is cut, so that no window is lost."""
+    block, size = [], 0
+    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).toLocalIterator():
+        w, a = words(r["t"]), 0
+        while a == 0 or a + window <= len(w):
+            n = max(1, min(most - size, len(w) - window + 1 - a))
+            block.append((r["i"], w[a : a + n + window - 1]))
+            a, size = a + n, size + n
+            if size >= most:
+                yield block
+                block, size = [], 0
+    if block:
+        yield block
 
 
 SPANS = "__op4_spans"
@@ -106,7 +117,7 @@ ITEMS = "__op4_items"
 COUNT = "__op4_words"
 
 
-def find_test_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_test_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs with __op4_words (long), __op4_spans (array of [start, end) word places), __op4_items (array of item ids).
 
     Null and empty texts have no words. A null item_id marks words but names no item; repeated items
@@ -114,10 +125,12 @@ def find_test_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     stay as they are.
     """
     kept = list(docs.columns)
-    blocks = list(_blocks(benchmark, "item_id", "text", block_bytes)) or [[]]
+    small_batches(docs.sparkSession)
     out = docs.withColumns({COUNT: F.lit(0).cast("long"), SPANS: F.lit(None).cast("array<int>"), ITEMS: F.lit(None).cast("array<string>")})
     at = kept.index("text")
-    for b, rows in enumerate(blocks):
+    blocks = _blocks(benchmark, window, block_windows)
+    rows = next(blocks, [])
+    while rows is not None:
         matcher = docs.sparkSession.sparkContext.broadcast(Matcher(rows, window))
 
         @frugal
@@ -135,8 +148,8 @@ def find_test_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 new = [pa.array(n, pa.int64()), pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *new], names=batch.schema.names)
 
-        out = out.mapInArrow(search, out.schema)
-        if b + 1 < len(blocks):
+        out, rows = out.mapInArrow(search, out.schema), next(blocks, None)
+        if rows is not None:
             out = stored(out, "op4")
     return out
 
@@ -151,13 +164,17 @@ def _n_hit():
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The counts and digests of every row of docs; nulls, repeated rows and empty tables as in find_test_words."""
     found = find_test_words(docs.select("doc_id", "text"), benchmark)
     hits = found.select("doc_id", F.col(COUNT).alias("n_words"), _n_hit().alias("n_hit"), F.size(ITEMS).cast("long").alias("n_items"), F.sha2(F.array_join(ITEMS, ",").cast("binary"), 256).alias("items_sha256"))
     return hits.withColumn("contaminated", _contaminated(F.col("n_hit"), F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that are not contaminated, with their own columns; test words in the others are left."""
+    """Documents that are not contaminated, with their own columns; test words in the others are left.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table gives an empty result.
+    """
     found = find_test_words(docs, benchmark)
     return found.filter(~_contaminated(_n_hit(), F.col(COUNT))).select(*(f"`{c}`" for c in docs.columns))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal
+from .common import frugal, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("card_short", "iban")
@@ -130,22 +130,33 @@ def redact(text: str | None) -> str | None:
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with pii: array<struct<kind, start, end, score>>; all its own columns stay."""
-    at = docs.columns.index(text_col)
+    """docs with pii: array<struct<kind, start, end, score>>; all its own columns stay.
+
+    Where docs has a column of that name, the new one's is preceded by as many underscores as it takes.
+    Null and empty texts have no spans; repeated rows give repeated results; an empty table, none.
+    """
+    small_batches(docs.sparkSession)
+    at, name = docs.columns.index(text_col), "pii"
+    while name in {c.lower() for c in docs.columns}:
+        name = "_" + name
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     @frugal
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[dict(zip(("kind", "start", "end", "score"), s)) for s in find(x)] for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(kind))], names=[*batch.schema.names, "pii"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(kind))], names=[*batch.schema.names, name])
 
-    out = docs.withColumn("pii", F.lit(None).cast("array<struct<kind:string,start:long,end:long,score:double>>"))
+    out = docs.withColumn(name, F.lit(None).cast("array<struct<kind:string,start:long,end:long,score:double>>"))
     return docs.mapInArrow(search, out.schema)
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """The counts and digests of every document's spans; repeated rows give repeated results."""
+    """The counts and digests of every document's spans.
+
+    Null and empty texts have none; repeated rows give repeated results; an empty table, none.
+    """
+    small_batches(docs.sparkSession)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
     @frugal
@@ -168,7 +179,11 @@ def pii_report(docs: DataFrame) -> DataFrame:
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
-    """docs with found spans replaced in text, and n_chars (where there is one) of the new text."""
+    """docs with found spans replaced in text, and n_chars (where there is one) of the new text.
+
+    Null and empty texts stay as they are; so do all other columns, repeated rows and empty tables.
+    """
+    small_batches(docs.sparkSession)
     at, schema = docs.columns.index("text"), docs.schema
 
     @frugal

@@ -52,10 +52,10 @@ ITEMS = [(1, LONG), (10, LONG.upper() + "!"), (2, "Short One"), (3, None), (4, "
 TEXTS = [None, "", "...", LONG, "x " + " ".join(f"t{i}" for i in range(3, 17)) + " y", " ".join(f"t{i}" for i in range(12)), "short   ONE, short-one", "a " * 40, "no name, here", "É é ß", LONG + " z" * 700, "word " * 20000]
 
 
-@pytest.mark.parametrize("block", [32 << 20, 60])
+@pytest.mark.parametrize("block", [1 << 17, 7, 1])
 def test_decontamination(spark, monkeypatch, block):
     original = D.find_test_words
-    monkeypatch.setattr(D, "find_test_words", lambda d, b: original(d, b, block_bytes=block))
+    monkeypatch.setattr(D, "find_test_words", lambda d, b: original(d, b, block_windows=block))
     docs = [*enumerate(TEXTS), (None, LONG), (3, LONG)]
     assert run_decontamination(spark, docs, ITEMS) == brute_decontamination(docs, ITEMS)
     assert run_decontamination(spark, [], ITEMS) == []
@@ -140,6 +140,8 @@ def test_pii_report_and_redaction(spark):
     assert pii.redact_pii(df).columns == df.columns
     assert pii.pii_report(df.limit(0)).collect() == []
     assert len(pii.find_pii(df).filter("size(pii) > 0").collect()) > 5
+    clash = pii.find_pii(df.withColumnRenamed("spans", "pii"))
+    assert clash.columns == ["doc_id", "text", "pii", "_pii"] and clash.filter("size(_pii) > 0 and pii = 'kind'").count() > 5
 
 
 # --- urls and components ----------------------------------------------------------------------
@@ -238,6 +240,30 @@ def test_quality(spark):
     assert quality.quality_report(d.limit(0)).collect() == []
 
 
+def test_lines_of_one_host_are_counted_by_document(spark):
+    """Two template lines and one-line documents, whatever their hashes."""
+    body = lambda i: " ".join(f"w{i}_{k}" for k in range(12))
+    rows = [(i, f"header of host h\n{body(i)}\n{body(1000 + i)}\nfooter of host h", "en", "h", 0) for i in range(400)]
+    rows += [(1000 + i, f"only line number {i} of a page with more than ten words in it", "en", "one", 0) for i in range(60)]
+    rows += [(2000 + i, "a page of one line, of which there are very many copies", "en", "copies", 0) for i in range(200)]
+    rows += [(3000 + i, f"shared menu with more than ten words so that it counts as text\nu{i} v{i}", "en", "menu", 0) for i in range(60)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r for r in quality.quality_report(d).collect()}
+    assert all(got[i]["removed_words"] == 8 and got[i]["kept"] for i in range(400))
+    assert all(got[1000 + i]["removed_words"] == 0 and got[1000 + i]["kept"] for i in range(60))
+    assert all(got[2000 + i]["kept"] for i in range(200)), "exact copies count once"
+    assert not any(got[3000 + i]["kept"] for i in range(60))
+    counts, hosts = {}, {}
+    for _, text, _, host, _ in rows:
+        for line in text.split("\n"):
+            counts.setdefault((host, " ".join(line.lower().split())), set()).add(text)
+        hosts.setdefault(host, set()).add(text)
+    for key, text, _, host, _ in rows:
+        gone = [x for x in text.split("\n") if (n := len(counts[host, " ".join(x.lower().split())])) >= 50 and 100 * n >= 2 * len(hosts[host])]
+        assert got[key]["removed_words"] == sum(len(x.split()) for x in gone)
+    assert rows_of(quality.quality_report(d)) == run_oracle(quality.ORACLE, documents=d)
+
+
 def boilerplate_docs():
     rows = []
     for i in range(120):
