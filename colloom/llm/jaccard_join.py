@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, even_keys, frugal, hash_words, lengths, mix, pack, shingle_hashes, small_side, split_words, starts, stored, unpack
+from .common import WordHashes, even_keys, frugal, hash_words, lengths, mix, pack, shingle_hashes, small_batches, small_side, split_words, starts, stored, unpack
 from .components import connected_components
 
 SHINGLE = 5
@@ -195,13 +195,13 @@ def linked_pairs(sets: list[np.ndarray], order: Order, percent: int, left: int |
 
 
 def set_table(docs: DataFrame, frequent: list[int], k: int = SHINGLE, percent: int = PERCENT, parts: int = 8) -> DataFrame:
-    """A row for each document: doc_id, n, node, sig; and for each block and part its prefix postings, packed.
+    """A row for each document: doc_id, text_hash, n, node, sig; and for each block and part its prefix postings, packed.
 
     node is 64 bits of sig. A block's equal sets have their postings once.
     """
     order, keys = docs.sparkSession.sparkContext.broadcast(Order(frequent)), even_keys(docs.sparkSession, parts)
-    names = ["doc_id", "n", "node", "sig", "part", "postings"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    names = ["doc_id", "text_hash", "n", "node", "sig", "part", "postings"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     @frugal
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,13 +218,13 @@ def set_table(docs: DataFrame, frequent: list[int], k: int = SHINGLE, percent: i
             rows = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 own, place = np.unique(at[a:b], return_inverse=True)
-                rows.append((None, None, None, None, int(part[a]), pack(node[own], n[own], h[a:b], place.astype(np.uint32))))
+                rows.append((None, None, None, None, None, int(part[a]), pack(node[own], n[own], h[a:b], place.astype(np.uint32))))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
         for rows, sets in _sets(batches, known, k):
             sigs = [signature(s) for s in sets]
             ids = [int.from_bytes(x[:8], "little", signed=True) for x in sigs]
-            cols = [[r[0] for r in rows], [len(s) for s in sets], ids, sigs, [None] * len(sets), [None] * len(sets)]
+            cols = [[r[0] for r in rows], [r[1] for r in rows], [len(s) for s in sets], ids, sigs, [None] * len(sets), [None] * len(sets)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
             for s, sig, node in zip(sets, sigs, ids):
                 if len(s) and sig not in seen:
@@ -239,8 +239,8 @@ def set_table(docs: DataFrame, frequent: list[int], k: int = SHINGLE, percent: i
         if heads:
             yield postings()
 
-    rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(prefixes, "doc_id long, n long, node long, sig binary, part int, postings binary")
+    rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(prefixes, "doc_id long, text_hash long, n long, node long, sig binary, part int, postings binary")
 
 
 def _near(h: np.ndarray, n: np.ndarray, node: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -373,7 +373,7 @@ def _verified_edges(docs: DataFrame, wanted: DataFrame, frequent: list[int], k:
 
     tasks = stored(_tasks(wanted, percent), "tasks")
     texts = docs.select("text", F.col("doc_id").cast("long").alias("__id"))
-    asked = texts.join(small_side(tasks, 128), F.expr("__id <=> doc"), "inner").select("text", "sig", "tasks")
+    asked = texts.join(small_side(tasks, 96 + 64 * F.size("tasks")), F.expr("__id <=> doc"), "inner").select("text", "sig", "tasks")
     dealt = asked.mapInArrow(shingles, "component long, one long, two long, first boolean, sig binary, s binary")
     dealt = dealt.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two", F.desc("first"), F.octet_length("s"), "sig")
 
@@ -402,46 +402,57 @@ def _verified_edges(docs: DataFrame, wanted: DataFrame, frequent: list[int], k:
     return dealt.mapInArrow(verify, "a binary, b binary")
 
 
-def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for each row of docs.
-
-    Rows with equal sets are linked, but empty sets (null, empty or blank texts) with nothing, not
-    with each other: such a row's component is its own doc_id. Null doc_ids take part; the smallest
-    known doc_id names the component, which is null if there is none. An empty table gives none.
-    """
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n, sig, component, component_id) of each row; component: the sig that names the group, null for empty sets."""
+    small_batches(docs.sparkSession)
     parts = max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     frequent = frequent_shingles(docs, k)
     table = stored(set_table(docs, frequent, k, percent, parts), "sets")
-    rows = table.filter("part is null").select("doc_id", "n", "node", "sig")
+    rows = table.filter("part is null").select("doc_id", "text_hash", "n", "node", "sig")
     reps = stored(rows.filter("n > 0").groupBy("sig", "node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")), "nodes")
     # Candidates go by 64 bits of sig: a clash may join two components of candidates, never two sets.
     wanted = reps.join(candidate_components(table, reps, percent, parts), "node").select("doc", "sig", "component", "n")
     linked = connected_components(_verified_edges(docs, wanted, frequent, k, percent))
     named = reps.select("sig", "doc").join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     lowest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    by_sig = named.join(lowest, "component").select("sig", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(by_sig, "sig", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_sig = named.join(lowest, "component").select("sig", "component", "component_id")
+    return rows.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(by_sig, "sig", "left")
 
 
-def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, with its own columns: that of the smallest doc_id.
+def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for each row of docs.
 
-    Rows with empty sets stay, also rows with a null doc_id, which nothing can name. Of rows with
-    one doc_id and words, one stays: that with the smallest text.
+    Rows with equal sets are linked, but empty sets (null, empty or blank texts) with nothing, not
+    with each other: such a row's component is its own doc_id. Null doc_ids take part; the smallest
+    known doc_id names the component, which is null if there is none. An empty table gives none.
     """
-    from pyspark.sql import Window
+    named = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return _grouped(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), named.alias("component_id"))
 
-    found = stored(jaccard_components(docs, k, percent).toDF("__id", "__n", "__c"), "components")
-    gone = found.filter("__n > 0 and __id != __c").select("__id").distinct()
-    rows = docs.join(small_side(gone, 16), F.expr("doc_id = __id"), "left_anti")
-    repeated = found.filter("__n > 0 and __id is not null").groupBy("__id").count().filter("count > 1").select("__id")
+
+def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, with its own columns: that of the smallest doc_id, a null one last.
+
+    Of several rows with that doc_id, one text's stays, and of rows that repeat both, any one. Rows go
+    by doc_id and text, so rows with one doc_id and unlinked texts all stay. Rows with empty sets stay.
+    An empty table gives an empty result.
+    """
+    found = stored(_grouped(docs, k, percent).filter("n > 0").select("doc_id", "text_hash", "component"), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    best = found.groupBy("component").agg(F.min(rank).alias("best"))
+    best = stored(best.select("component", F.col("best.doc_id").alias("d"), F.col("best.text_hash").alias("h")), "kept-rows")
+    gone = found.join(best, "component").filter("not (doc_id <=> d and text_hash = h)").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct()
+    rows = docs.withColumn("__key", F.xxhash64("text"))
+    rows = rows.join(small_side(stored(gone, "gone"), 24), F.expr("cast(doc_id as long) <=> __id and __key = __h"), "left_anti")
+    repeated = found.groupBy("component", "doc_id", "text_hash").count().filter("count > 1")
+    repeated = repeated.join(best, F.expr("doc_id <=> d and text_hash = h")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct()
+    repeated = stored(repeated, "repeated")
     if repeated.isEmpty():
-        return rows
-    once = rows.join(repeated, F.expr("doc_id = __id"), "left_anti")
-    copies = rows.join(repeated, F.expr("doc_id = __id"), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    return once.union(copies.withColumn("__rn", F.row_number().over(first)).filter("__rn = 1").drop("__rn"))
+        return rows.drop("__key")
+    same = F.expr("cast(doc_id as long) <=> __id and __key = __h")
+    copies = rows.join(small_side(repeated, 24), same, "left_semi")
+    one = copies.groupBy(F.col("doc_id").alias("__id"), "__key").agg(F.first(F.struct(*(f"`{c}`" for c in docs.columns))).alias("__row")).select("__row.*")
+    return rows.join(small_side(repeated, 24), same, "left_anti").drop("__key").union(one)
 
 
 ORACLE = r"""

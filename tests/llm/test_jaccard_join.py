@@ -101,6 +101,22 @@ def test_keep_one_keeps_columns(spark):
     assert J.keep_one(df).columns == df.columns
 
 
+def test_keep_one_with_repeated_ids(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(12))
+    rows = [(2, text("a")), (5, text("a")), (5, text("b")), (7, text("c")), (7, text("d")), (7, text("d")), (8, text("d").upper()), (None, text("d")), (None, text("e")), (9, ""), (9, "")]
+    df = spark.createDataFrame([(d, t, {"k": 1}) for d, t in rows], "doc_id long, text string, component map<string,int>")
+    got = sorted(((x["doc_id"], x["text"]) for x in J.keep_one(df).collect()), key=str)
+    assert got == sorted([(2, text("a")), (5, text("b")), (7, text("c")), (7, text("d")), (None, text("e")), (9, ""), (9, "")], key=str)
+    assert J.keep_one(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("small", [2, 5])
+def test_stars_of_large_groups(spark, monkeypatch, small):
+    monkeypatch.setattr(J, "SMALL", small)
+    rows = corpus(7, 120, 20)
+    assert run(spark, rows) == brute(rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=30), min_size=2, max_size=14), st.booleans())
 def test_forest_connects_what_links_connect(sets, placed):
