@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import struct
 import tempfile
 import uuid
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -30,8 +31,25 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one of this machine only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder named in spark.checkpoint.dir; where it is unset, a temporary one, if there is one machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (folder or _own_dir()).rstrip("/")
+
+
+#: Rows and bytes that go to a Python worker at once; Spark's own defaults let a batch of texts take 64 MB on both sides.
+BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS and BATCH_BYTES; lower settings stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.match(r"-?\d+", spark.conf.get(key))
+        if not 0 < int(now[0] if now else 0) <= most:
+            spark.conf.set(key, str(most))
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
@@ -58,7 +76,7 @@ def split_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound; any word's hash is always the same."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 1 << 17):
         super().__init__()
         self.bound = bound
 
@@ -157,9 +175,13 @@ def lengths(starts: np.ndarray, n: int) -> np.ndarray:
 BROADCAST_BYTES = 32 << 20
 
 
-def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df, to be broadcast if its rows, counted, have at most BROADCAST_BYTES; df should be stored or cheap."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def small_side(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """df, to be broadcast if its rows have at most BROADCAST_BYTES together; df should be stored or cheap.
+
+    row_bytes: of each row, an expression where rows hold arrays or texts.
+    """
+    total = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0]
+    return F.broadcast(df) if (total or 0) <= BROADCAST_BYTES else df
 
 
 def even_keys(spark: SparkSession, parts: int) -> np.ndarray:

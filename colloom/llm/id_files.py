@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, new_table_path
+from .common import frugal, new_table_path, small_batches
 from .token_ids import encoder
 
 MAGIC = b"CLMEF001"
@@ -138,29 +138,30 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end, part = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId()
-        width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 65536 else 4
+        end, part = np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId()
         keys: list[int | None] = []
         ids: list[bytes] = []
-        size = seq = before = 0
+        size = seq = before = width = 0
 
         def out() -> pa.RecordBatch:
             row = [[part], [seq], [before], [len(keys)], [size], [write_shard(keys, ids, width)]]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], names=["part", "seq", "ids_before", "n_docs", "n_ids", "payload"])
 
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for key, x in zip(batch.column(0).to_pylist(), enc.encode(texts)):
-                keys.append(key)
-                ids.append(x + end)
-                size += len(ids[-1]) // 4
-                if size >= shard_ids:
-                    yield out()
-                    seq, before, size = seq + 1, before + size, 0
-                    keys, ids = [], []
-        if keys:
-            yield out()
+        with encoder(tokenizer_path) as enc:
+            width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 65536 else 4
+            for batch in batches:
+                texts = [x or "" for x in batch.column(1).to_pylist()]
+                for key, x in zip(batch.column(0).to_pylist(), enc.encode(texts)):
+                    keys.append(key)
+                    ids.append(x + end)
+                    size += len(ids[-1]) // 4
+                    if size >= shard_ids:
+                        yield out()
+                        seq, before, size = seq + 1, before + size, 0
+                        keys, ids = [], []
+            if keys:
+                yield out()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(shards, SHARD_SCHEMA).write.parquet(path)
@@ -195,6 +196,8 @@ def read_ids(spark, path: str) -> DataFrame:
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
+    """What read_ids finds in the files of write_ids. Null texts are empty; an empty table gives an empty result."""
+    small_batches(docs.sparkSession)
     path = new_table_path(docs.sparkSession, "ids")
     write_ids(docs, tokenizer_path, path, end_id)
     return read_ids(docs.sparkSession, path)

@@ -9,18 +9,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, stored
+from .common import frugal, small_batches, stored
 from .token_ids import encoder
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Rows of one length that one task ranks.
-ROWS_PER_SALT = 20_000
+#: Rows of one length that are ranked together at least; of a length with n rows, about the root of n.
+ROWS_PER_SALT = 500
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -103,21 +104,22 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_i
 
     @frugal
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            out: list[tuple] = []
-            for key, ids in zip(keys, enc.encode(texts)):
-                ids += end
-                n = len(ids) // 4
-                a, b, piece = 0, (n - 1) % capacity + 1, 0
-                while a < n:
-                    out.append((key, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
-                    a, b, piece = b, b + capacity, piece + 1
-            cols = list(zip(*out)) or [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+        end = np.array([end_id], dtype="<u4").tobytes()
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        with encoder(tokenizer_path) as enc:
+            for batch in batches:
+                keys, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+                out: list[tuple] = []
+                for key, ids in zip(keys, enc.encode(texts)):
+                    ids += end
+                    n = len(ids) // 4
+                    a, b, piece = 0, (n - 1) % capacity + 1, 0
+                    while a < n:
+                        out.append((key, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+                        a, b, piece = b, b + capacity, piece + 1
+                cols = list(zip(*out)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(pieces, PIECE_SCHEMA)
 
@@ -130,9 +132,12 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """
     pieces = stored(pieces, "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    salts = max(1, -(-sum(counts.values()) // ROWS_PER_SALT))
-    places = pieces.sparkSession.sparkContext.broadcast(Places(plan(counts, capacity)))
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    spark = pieces.sparkSession
+    salts = [(x, -(-n // max(ROWS_PER_SALT, isqrt(n)))) for x, n in counts.items()]  # at most a row for each length
+    dealt = F.broadcast(spark.createDataFrame(salts, "__length long, __salts long"))
+    places = spark.sparkContext.broadcast(Places(plan(counts, capacity)))
+    salted = pieces.join(dealt, F.col("length") == F.col("__length"))
+    salted = salted.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("__salts"))).drop("__length", "__salts")
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     sizes = sizes.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -151,4 +156,6 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+    """The pieces of cut_pieces with the places of pack: see there for nulls, repeated rows and empty tables."""
+    small_batches(docs.sparkSession)
     return pack(cut_pieces(docs, tokenizer_path, capacity, end_id), capacity)

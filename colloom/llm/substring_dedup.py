@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_lower, frugal, hash_words, mix, rolling, small_side, split_words, starts, stored
+from .common import WordHashes, ascii_lower, frugal, hash_words, mix, rolling, small_batches, small_side, split_words, starts, stored
 
 K = 6
 WINDOW = 10
@@ -355,7 +355,7 @@ def _slices(docs: DataFrame, table: DataFrame) -> DataFrame:
     side0 = table.select(F.col("doc").alias("d"), "id", F.lit(0).alias("side"), "start", "end")
     side1 = table.select(F.col("src").alias("d"), "id", F.lit(1).alias("side"), F.col("s_start").alias("start"), F.col("s_end").alias("end"))
     asked = side0.union(side1).groupBy("d", F.pmod("id", F.lit(SALTS)).alias("salt")).agg(F.collect_list(F.struct("id", "side", "start", "end")).alias("asked")).drop("salt")
-    joined = docs.select("doc", "text").join(small_side(stored(asked, "asked"), 96), F.col("doc") == F.col("d")).select("text", "asked")
+    joined = docs.select("doc", "text").join(small_side(stored(asked, "asked"), 96 + 24 * F.size("asked")), F.col("doc") == F.col("d")).select("text", "asked")
 
     @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,6 +401,7 @@ def fuzzy_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float
     have no name and take no part; rows that repeat a doc_id are one document, so repeated rows
     within it are not matched with each other. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = _one_row_each(docs)
     found = stored(seeds(rows), "seeds")
     matched = stored(matches(found), "matches")

@@ -3,13 +3,15 @@
 Both vocabulary files first cut a text into words by a fixed pattern and then merge inside each
 word, so the ids of a text are the ids of its words in order. Texts of plain Latin characters are
 cut here by an equal pattern and only words not seen lately go to the library. All other texts go to
-the library whole. A text with the string of a special token is ordinary text.
+the library whole, also those with the string of an added token, which the library makes one id.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from struct import pack
 
@@ -51,11 +53,10 @@ class Words(dict):
 class Encoder:
     """Packed ids (little-endian unsigned 32-bit) of texts; its memory holds two generations of words."""
 
-    def __init__(self, path: str, bound: int = 300_000):
+    def __init__(self, path: str, bound: int = 1 << 17):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
@@ -64,6 +65,10 @@ class Encoder:
             self.cut = _WITH_SPACES.findall
         elif pre.get("type") == "Sequence" and norm and [x["type"] for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.cut = lambda text: _WITHOUT_SPACES.findall(text.lower())
+        added = spec.get("added_tokens") or []
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in added) or r"(?!)")
+        if any(x.get("normalized") for x in added):  # such are looked for in the normalised text
+            self.cut = None
         self.bound, self.letters = bound, _byte_letters()
         self.words = Words(self.tokenizer.model, self.letters, {})
 
@@ -71,7 +76,7 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         whole = []
         for i, x in enumerate(texts):
-            if self.cut is None or not x.isascii() and _UNUSUAL.search(x) or x.isascii() and not x.isprintable() and _UNUSUAL.search(x):
+            if self.cut is None or self.added.search(x) or not x.isascii() and _UNUSUAL.search(x) or x.isascii() and not x.isprintable() and _UNUSUAL.search(x):
                 whole.append(i)
                 continue
             if len(self.words) >= self.bound:
@@ -83,7 +88,21 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One for each path and Python worker, so that its memory outlives a task."""
+    def forget(self) -> None:
+        self.words = Words(self.tokenizer.model, self.letters, {})
+
+
+@lru_cache(maxsize=2)
+def _kept(path: str) -> Encoder:
+    """One for each path and Python worker: reading a vocabulary takes longer than many a task."""
     return Encoder(path)
+
+
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """The worker's encoder for a task, at whose end it forgets its words."""
+    enc = _kept(path)
+    try:
+        yield enc
+    finally:
+        enc.forget()

@@ -19,7 +19,6 @@ SAMPLE = "/root/testdata/sf0.001"
 
 def plain(path, texts):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
@@ -30,12 +29,16 @@ def ids(packed):
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_equal_to_whole_texts(spark, path):
     texts = [r["text"] for r in spark.read.parquet(f"{SAMPLE}/documents.parquet").select("text").collect()]
-    texts += ["", " ", "a  b\n\n c\t'll X's", "<|endoftext|> hi<|startoftext|>", "\x1c x\x85y\xa0z", "½ ² 東京 é́", "İstanbul Σίσυφος ſ K", "x" * 5000, "don't WE'LL", "a\r\nb \n", "×÷ªº"]
+    texts += ["", " ", "a  b\n\n c\t'll X's", "<|endoftext|> hi<|startoftext|>", "\x1c x\x85y\xa0z", "½ ² 東京 é́", "İstanbul Σίσυφος ſ K", "x" * 5000, "don't WE'LL", "a\r\nb \n", "×÷ªº", "a <|endoftext|> b", "<|ENDOFTEXT|><|endoftext|>é"]
     e = Encoder(path, bound=500)
     assert ids(e.encode(texts)) == plain(path, texts)
     assert ids(e.encode(texts)) == plain(path, texts)
 
 
+def test_added_tokens_are_one_id():
+    assert ids(Encoder(BYTE).encode(["a <|endoftext|> b"])) == [[64, 220, 50256, 275]]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aB z'\n\t.,19éÉßÿ×–’"), st.characters(codec="utf-8")), max_size=30), max_size=4))
 def test_any_text(texts):
@@ -45,8 +48,6 @@ def test_any_text(texts):
 
 encoders = {p: Encoder(p) for p in (BYTE, WORD)}
 _whole = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
-for _t in _whole.values():
-    _t.encode_special_tokens = True
 plain_by = {p: lambda xs, t=t: [t.encode(x, add_special_tokens=False).ids for x in xs] for p, t in _whole.items()}
 
 
