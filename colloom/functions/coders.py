@@ -31,24 +31,46 @@ def _lzma(data: bytes) -> bytes:
     return lzma.compress(data, preset=6)
 
 
-def _unzlib(data: bytes) -> bytes:
-    d = zlib.decompressobj()
-    out = d.decompress(data)
-    if d.unused_data or not d.eof:
-        raise ValueError("bytes after the end, or a cut stream")
-    return out
+def _lzma_extreme(data: bytes) -> bytes:
+    return lzma.compress(data, preset=9 | lzma.PRESET_EXTREME)
+
+
+def _strict(decompressor: Callable) -> Callable[[bytes], bytes]:
+    """A decoder of one stream that refuses a cut one and bytes after its end."""
+
+    def run(data: bytes) -> bytes:
+        d = decompressor()
+        try:
+            out = d.decompress(data)
+        except (OSError, EOFError, lzma.LZMAError, zlib.error) as e:
+            raise ValueError(str(e)) from e
+        if d.unused_data or not d.eof:
+            raise ValueError("bytes after the end, or a cut stream")
+        return out
+
+    return run
 
 
 CODERS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "raw": (_raw, _raw),
-    "zlib": (_zlib, _unzlib),
-    "bz2": (_bz2, bz2.decompress),
-    "lzma": (_lzma, lzma.decompress),
+    "zlib": (_zlib, _strict(zlib.decompressobj)),
+    "bz2": (_bz2, _strict(bz2.BZ2Decompressor)),
+    "lzma": (_lzma, _strict(lzma.LZMADecompressor)),
 }
 try:
     import zstandard
 
-    CODERS["zstd"] = (lambda x: zstandard.ZstdCompressor(level=19).compress(x), lambda x: zstandard.ZstdDecompressor().decompress(x))
+    def _unzstd(data: bytes) -> bytes:
+        d = zstandard.ZstdDecompressor().decompressobj()
+        try:
+            out = d.decompress(data)
+        except zstandard.ZstdError as e:
+            raise ValueError(str(e)) from e
+        if d.unused_data or not d.eof:
+            raise ValueError("bytes after the end, or a cut stream")
+        return out
+
+    CODERS["zstd"] = (lambda x: zstandard.ZstdCompressor(level=19).compress(x), _unzstd)
 except ImportError:
     pass
 try:
@@ -72,14 +94,28 @@ def decode(coder: str, data: bytes) -> bytes:
 def best(data: bytes, names: list[str] | None = None, screen: int = SCREEN, finalists: int = 2) -> tuple[str, bytes]:
     """(coder, coded) of the smallest; of equals the first. Never larger than the data.
 
-    Long data are screened on their start, and only the best few code all of them.
+    Long data are screened on their start, and only the best few and bz2, which gains most by length,
+    code all of them. Where lzma wins, its dearest preset is tried too; its payload reads the same.
     """
     names = list(CODERS) if names is None else names
     if len(data) > screen:
         ranked = sorted(names, key=lambda n: len(encode(n, data[:screen])))
-        names = ["raw", *[n for n in ranked if n != "raw"][:finalists]]
-    coded = [(n, encode(n, data)) for n in names]
-    return min(coded, key=lambda c: len(c[1]))
+        names = ["raw", *[n for n in ranked if n != "raw"][:finalists], *(["bz2"] if "bz2" in names else [])]
+    coded = [(n, encode(n, data)) for n in dict.fromkeys(names)]
+    found = min(coded, key=lambda c: len(c[1]))
+    return min([found, ("lzma", _lzma_extreme(data))], key=lambda c: len(c[1])) if found[0] == "lzma" else found
+
+
+#: Qualities of the coders that have them.
+QUALITIES: dict[str, dict[int, Callable[[bytes], bytes]]] = {
+    "zlib": {q: lambda x, q=q: zlib.compress(x, q) for q in (1, 6, 9)},
+    "bz2": {q: lambda x, q=q: bz2.compress(x, q) for q in (1, 5, 9)},
+    "lzma": {q: lambda x, q=q: lzma.compress(x, preset=q) for q in (0, 3, 6)},
+}
+if "zstd" in CODERS:
+    QUALITIES["zstd"] = {q: lambda x, q=q: zstandard.ZstdCompressor(level=q).compress(x) for q in (1, 9, 19)}
+if "brotli" in CODERS:
+    QUALITIES["brotli"] = {q: lambda x, q=q: brotli.compress(x, quality=q) for q in (1, 5, 9, 11)}
 
 
 def coded_size(coder: str) -> Callable[[Column], Column]:

@@ -63,6 +63,37 @@ def unscaled(n: Column, places: int) -> Column:
     return F.concat(F.when(n < 0, "-").otherwise(""), F.substring(digits, F.lit(1), cut), F.lit("."), F.substring(digits, cut + 1, F.lit(places)))
 
 
+#: The forms of timestamps that are read as integers, as pattern and as Spark's format.
+FORMATS = (
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
+    (r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}$", "yyyy/MM/dd HH:mm:ss"),
+)
+
+
+def timestamp_seconds(text: Column, form: int) -> Column:
+    """Seconds since 1970 of a text of one of FORMATS, read as UTC; null for any other text."""
+    moment = F.try_to_timestamp(F.when(text.rlike(FORMATS[form][0]), F.concat(text, F.lit(" +0000"))), F.lit(FORMATS[form][1] + " Z"))
+    return F.unix_timestamp(moment)
+
+
+def timestamp_text(seconds: Column, form: int) -> Column:
+    """The text again, whatever the session's time zone."""
+    days, rest = F.floor(seconds / 86400), F.pmod(seconds, F.lit(86400))
+    date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")), "yyyy/MM/dd" if form == 2 else "yyyy-MM-dd")
+    two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(F.floor(rest / 3600)), two(F.floor(rest / 60) % 60), two(rest % 60))
+    return F.concat(date, F.lit("T" if form == 1 else " "), clock)
+
+
+def human_size(n: Column) -> Column:
+    """A number of bytes as people read it: 999 B, 1.0 KB, 12.3 MB."""
+    out = F.format_string("%.1f TB", n / 1e12)
+    for unit, size in (("GB", 1e9), ("MB", 1e6), ("KB", 1e3)):
+        out = F.when(n < size * 1000, F.format_string(f"%.1f {unit}", n / size)).otherwise(out)
+    return F.when(n < 1000, F.format_string("%d B", n)).otherwise(out)
+
+
 def split_quoted(line: Column, sep: str) -> Column:
     """Fields of a line: a separator inside double quotes does not part them, quotes stay in the value.
 

@@ -10,6 +10,7 @@ import bz2
 import struct
 from collections import Counter
 from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
 
 import numpy as np
 
@@ -18,7 +19,13 @@ from .relate import greedy_groups
 PRELUDE_LINES = 4
 SEPARATORS = (b",", b"\t", b";", b"|", b" ")
 MAX_CODES = 255
-METHODS = ("plain", "blank", "delta", "constant", "dictionary", "places", "difference")
+#: Kinds of integers from here on are timestamps of STAMPS: what parts a date, and it from the time.
+STAMP = 64
+STAMPS = ((b"-", b" "), (b"-", b"T"), (b"/", b" "))
+EPOCH = datetime(1970, 1, 1)
+#: Columns from which on groups of columns side by side are tried, and how many groups.
+SPLIT_COLUMNS = 8
+SPLIT_GROUPS = 4
 
 
 @dataclass
@@ -64,15 +71,19 @@ def _table(content: bytes, sep: bytes) -> tuple[list[bytes], list[list[bytes]],
 def parse(contents: list[bytes]) -> Parsed | None:
     """The batch as aligned columns, by the separator that gives one width to all rows; the widest wins.
 
-    Rows of other widths would lose their shape, so such a batch is refused, as is one without columns.
-    The separator is the last field of the first head's place in the coded batch: see encode_columns.
+    Of rows that differ in width by an eighth at most (or by one), the narrowest sets it: the last
+    column holds what the others have besides, separators and all, so joining gives the rows again.
+    Other batches are refused, as is one without columns. The separator is the last field of the first head's place in the coded batch: see encode_columns.
     """
-    found = None
+    found, even = None, False
     for sep in SEPARATORS:
         tables = [_table(x, sep) for x in contents]
         widths = {len(r) for _, rows, _ in tables for r in rows}
-        if len(widths) == 1 and (w := widths.pop()) > 1 and (found is None or w > found.width):
-            columns = [[r[c] for _, rows, _ in tables for r in rows] for c in range(w)]
+        w = min(widths, default=0)
+        if w > 1 and max(widths) - w <= (max(1, w // 8) if len(widths) > 1 else 0) and (found is None or (w, len(widths) == 1) > (found.width, even)):
+            even = len(widths) == 1
+            columns = [[r[c] for _, rows, _ in tables for r in rows] for c in range(w - 1)]
+            columns.append([r[-1] if len(r) == w else sep.join(r[w - 1 :]) for _, rows, _ in tables for r in rows])
             found = Parsed(w, [(len(rows), trailing, prelude) for prelude, rows, trailing in tables], columns, sep)
     return found
 
@@ -95,7 +106,34 @@ def number(values: list[bytes]) -> tuple[int, list[int]] | None:
     return places, out
 
 
+def timestamps(values: list[bytes]) -> tuple[int, list[int]] | None:
+    """(kind, seconds since 1970) if all values are of one of STAMPS; kind is a number from STAMP on."""
+    for k, (date, mark) in enumerate(STAMPS):
+        out = []
+        for v in values:
+            if len(v) != 19 or v[10:11] != mark:
+                break
+            try:
+                moment = datetime.fromisoformat(v.decode("latin-1").replace("/", "-") if date == b"/" else v.decode("latin-1"))
+            except ValueError:
+                break
+            out.append(int(moment.replace(tzinfo=UTC).timestamp()))
+        if out and len(out) == len(values) and all(_number_text(n, STAMP + k) == v for n, v in zip(out, values)):
+            return STAMP + k, out
+    return None
+
+
+def integers(values: list[bytes]) -> tuple[int, list[int]] | None:
+    """number() or timestamps(): the kind tells how to render."""
+    found = number(values)
+    return timestamps(values) if found is None else found
+
+
 def _number_text(n: int, places: int) -> bytes:
+    if places >= STAMP:
+        date, mark = STAMPS[places - STAMP]
+        text = (EPOCH + timedelta(seconds=n)).isoformat(sep=mark.decode()).encode()
+        return text.replace(b"-", date) if date != b"-" else text
     if not places:
         return b"%d" % n
     digits = str(abs(n)).rjust(places + 1, "0")
@@ -138,7 +176,7 @@ def encodings(values: list[bytes]) -> list[tuple[str, bytes]]:
         odd = [(i, v) for i, v in enumerate(values) if len(v) != width]
         planes = np.frombuffer(b"".join(fixed), np.uint8).reshape(len(fixed), width).T.tobytes()
         out.append(("places", struct.pack("<II", width, len(odd)) + np.array([i for i, _ in odd], "<u4").tobytes() + planes + _texts([v for _, v in odd])))
-    if n > 1 and (found := number(values)) is not None:
+    if n > 1 and (found := integers(values)) is not None:
         places, ints = found
         steps = np.diff(np.array(ints, dtype=np.int64))
         if len(steps) and np.abs(np.array(ints, dtype=object)).max() < 2**62:
@@ -222,7 +260,7 @@ def undifference_column(data: bytes, columns: list[list[bytes]], n: int) -> list
     raw = np.frombuffer(data, np.uint8, n * size, 3 + 2 * k).reshape(size, n).T
     total = np.ascontiguousarray(raw).view(f"<i{size}").ravel().astype(np.int64)
     for r in refs:
-        total = total + np.array(number(columns[r])[1], np.int64)
+        total = total + np.array(integers(columns[r])[1], np.int64)
     return [_number_text(x, places) for x in total.tolist()]
 
 
@@ -238,16 +276,36 @@ def vocabulary_groups(columns: list[list[bytes]], share: float = 0.3, parts: int
     return greedy_groups(pairs, list(range(len(columns))))
 
 
+def split_groups(width: int, related: list[tuple[int, int]], groups: int = SPLIT_GROUPS) -> list[list[int]]:
+    """Columns in up to `groups` groups of about one size; related columns are in one."""
+    first = list(range(width))
+    for a, b in sorted(related):
+        first = [first[a] if x == first[b] else x for x in first]
+    sets: dict[int, list[int]] = {}
+    for c in range(width):
+        sets.setdefault(first[c], []).append(c)
+    out: list[list[int]] = [[] for _ in range(min(groups, width))]
+    for s in sorted(sets.values(), key=lambda s: (-len(s), s)):
+        min(out, key=len).extend(s)
+    return [sorted(g) for g in out if g]
+
+
 def encode_columns(parsed: Parsed) -> list[tuple[list[dict], bytes]]:
-    """(columns, body) of each group; one group of all columns if that is smaller. The separator leads the first body."""
+    """(columns, body) of each group; the separator leads the first body.
+
+    The smallest of three arrangements: columns with shared vocabularies together, wide tables in
+    SPLIT_GROUPS groups of neighbours (a difference with the columns it refers to), all in one.
+    """
     coded = [choose(c) for c in parsed.columns]
-    numbers = {c: v for c, v in ((c, number(x)) for c, x in enumerate(parsed.columns)) if v is not None and len(v[1]) > 1 and max(map(abs, v[1])) < 2**60}
+    numbers = {c: v for c, v in ((c, integers(x)) for c, x in enumerate(parsed.columns)) if v is not None and len(v[1]) > 1 and max(map(abs, v[1])) < 2**60}
+    related: list[tuple[int, int]] = []
     for c, (places, values) in numbers.items():
         same = {r: v for r, (p, v) in numbers.items() if r < c and p == places}
         if refs := best_difference(values, same):
             body = difference_column(values, places, refs, same)
             if len(bz2.compress(body, 1)) < len(bz2.compress(coded[c][1], 1)):
                 coded[c] = ("difference", body)
+                related += [(r, c) for r in refs]
 
     def body(group: list[int]) -> tuple[list[dict], bytes]:
         notes = [{"col_no": c, "method": coded[c][0], "raw_bytes": len(coded[c][1])} for c in group]
@@ -255,8 +313,9 @@ def encode_columns(parsed: Parsed) -> list[tuple[list[dict], bytes]]:
 
     groups = [body(g) for g in vocabulary_groups(parsed.columns)]
     together = [body(list(range(parsed.width)))]
+    split = [body(g) for g in split_groups(parsed.width, related)] if parsed.width >= SPLIT_COLUMNS else together
     size = lambda gs: sum(len(bz2.compress(b, 9)) for _, b in gs)
-    out = min([groups, together], key=size)
+    out = min([groups, together, split], key=size)
     out[0] = (out[0][0], parsed.separator + out[0][1])
     return out
 

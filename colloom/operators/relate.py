@@ -7,7 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import varint_length, zigzag
+from ..functions.scalars import FORMATS, scaled, timestamp_seconds, timestamp_text, unscaled, varint_length, zigzag
+from .sequences import row_numbers
 
 
 def vocabularies(cells: DataFrame) -> DataFrame:
@@ -31,10 +32,61 @@ def overlaps(cells: DataFrame) -> DataFrame:
 
 
 def sampled(cells: DataFrame, parts: int = 300) -> DataFrame:
-    """Every max(1, n div parts)-th value of each column, by key from 0; a fixed choice, not a random one."""
+    """Every max(1, n div parts)-th value of each column, by place in the order of key; a fixed choice, not a random one."""
     n = cells.groupBy("col").agg(F.count(F.lit(1)).alias("__n"))
     step = F.greatest(F.lit(1), F.floor(F.col("__n") / parts))
-    return cells.join(n, "col").filter(F.col("key") % step == 0).drop("__n")
+    return row_numbers(cells, "key", "__at", ["col"]).join(n, "col").filter(F.col("__at") % step == 0).drop("__n", "__at")
+
+
+def shared_vocabularies(cells: DataFrame, threshold: float = 0.5, variety: float = 0.8) -> list[list]:
+    """Groups of two columns and more whose vocabularies' Jaccard similarity with the group's first column is over threshold.
+
+    A group's first column has two values at least and at most `variety` of its cells' number.
+    """
+    sizes = {r["col"]: (r["n"], r["d"]) for r in cells.groupBy("col").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("d")).collect()}
+    near = {(r["a"], r["b"]) for r in overlaps(cells).filter(F.col("shared") > threshold * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b").collect()}
+    used, out = set(), []
+    for a in sorted(sizes):
+        n, d = sizes[a]
+        if a in used or d < 2 or d > n * variety:
+            continue
+        group = [a, *(b for b in sorted(sizes) if b > a and b not in used and (a, b) in near)]
+        used.update(group)
+        if len(group) > 1:
+            out.append(group)
+    return out
+
+
+def read_integers(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, tuple[str, int]]]:
+    """(df with the readable columns as integers, {column: (kind, scale)}).
+
+    kind "ts": all values are of one of FORMATS (scale: its number) and become seconds since 1970 in
+    UTC; "num": all are plain decimals, counted in units of 10**-scale of the longest fraction.
+    Unreadable columns, and those with a null, are as they were and not in the dictionary.
+    """
+    cells = []
+    for c in columns:
+        v = F.col(c)
+        fits = [F.sum(F.coalesce(timestamp_seconds(v, i).isNotNull() & v.rlike(p), F.lit(False)).cast("long")).alias(f"t{i}") for i, (p, _) in enumerate(FORMATS)]
+        plain = v.rlike(r"^-?[0-9]{1,15}(\.[0-9]{1,9})?$")
+        places = F.max(F.when(plain & F.contains(v, F.lit(".")), F.length(v) - F.locate(".", v)).otherwise(0))
+        cells.append(F.struct(*fits, F.sum(F.coalesce(plain, F.lit(False)).cast("long")).alias("num"), places.alias("places"), F.count(F.lit(1)).alias("n")).alias(c))
+    found, kinds, out = df.agg(*cells).first(), {}, df
+    for c in columns:
+        r = found[c]
+        stamp = next((i for i in range(len(FORMATS)) if r["n"] and r[f"t{i}"] == r["n"]), None)
+        if stamp is not None:
+            kinds[c], out = ("ts", stamp), out.withColumn(c, timestamp_seconds(F.col(c), stamp))
+        elif r["n"] and r["num"] == r["n"]:
+            kinds[c], out = ("num", r["places"]), out.withColumn(c, scaled(F.col(c), r["places"]))
+    return out, kinds
+
+
+def render_integers(df: DataFrame, kinds: dict[str, tuple[str, int]]) -> DataFrame:
+    """The texts again: timestamps exactly, decimals with `scale` places."""
+    for c, (kind, scale) in kinds.items():
+        df = df.withColumn(c, timestamp_text(F.col(c), scale) if kind == "ts" else unscaled(F.col(c), scale))
+    return df
 
 
 def greedy_groups(pairs: list[tuple[int, int]], columns: list[int]) -> list[list[int]]:

@@ -191,7 +191,8 @@ def q16_modal_width(spark, sf_dir):
 
 
 @query(
-    "SELECT (p - 1)::INT AS pos, string_agg(substr(o_orderpriority, p, 1), '' ORDER BY o_orderkey) AS text FROM orders, range(1, 6) t(p) WHERE p <= length(o_orderpriority) GROUP BY p"
+    "WITH o AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 65536 AS block FROM orders) "
+    "SELECT block, (p - 1)::INT AS pos, string_agg(substr(o_orderpriority, p, 1), '' ORDER BY o_orderkey) AS text FROM o, range(1, 6) t(p) WHERE p <= length(o_orderpriority) GROUP BY block, p"
 )
 def q17_character_transposition(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 5).alias("v"))
@@ -255,7 +256,7 @@ def q21_shared_vocabulary(spark, sf_dir):
 
 
 @query(
-    f"WITH {_KEY_CELLS}, k AS (SELECT col, greatest(1, count(*) // 300) AS step FROM cells GROUP BY col), s AS (SELECT cells.col, value FROM cells JOIN k USING (col) WHERE key % step = 0), " + _OVERLAP.format(src="s")
+    f"WITH {_KEY_CELLS}, k AS (SELECT col, greatest(1, count(*) // 300) AS step FROM cells GROUP BY col), s AS (SELECT p.col, value FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY key) - 1 AS at_ FROM cells) p JOIN k USING (col) WHERE at_ % step = 0), " + _OVERLAP.format(src="s")
 )
 def q22_sampled_overlap(spark, sf_dir):
     return R.overlaps(R.sampled(key_cells(spark, sf_dir)))
@@ -337,10 +338,12 @@ def q29_batches(spark, sf_dir):
     return L.batches(d, 16, 20000)
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS n_bytes FROM documents")
+@query("SELECT doc_id AS name, sha256(text) AS sha256, strlen(text) AS n_bytes FROM documents")
 def q30_digest_manifest(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
+    from ..operators.archive import digests
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.col("text").cast("binary").alias("content"))
+    return digests(d).select("name", "sha256", "n_bytes")
 
 
 @query(
@@ -355,10 +358,11 @@ def q31_verify(spark, sf_dir):
     return compare(d, changed).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id AS name, sha256(text) AS sha256 FROM documents WHERE doc_id = 42")
+@query("SELECT doc_id::VARCHAR AS name, sha256(text) AS sha256 FROM documents WHERE doc_id = 42")
 def q32_point_lookup(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.col("text").cast("binary").alias("content"))
-    return d.filter(F.col("name") == 42).select("name", F.sha2("content", 256).alias("sha256"))
+    from ..operators.archive import unpack
+
+    return unpack(spark, _packed_texts(spark, sf_dir), ["42"]).select("name", F.sha2("content", 256).alias("sha256"))
 
 
 # --- lines and fields -------------------------------------------------------------------------
@@ -383,7 +387,9 @@ def q33_log_fields(spark, sf_dir):
 
 @query("SELECT doc_id, h.pos::BIGINT AS pos, h.x AS hex FROM (SELECT doc_id, unnest(list_zip(range(len(regexp_extract_all(text, '[0-9a-f]{16,}'))), regexp_extract_all(text, '[0-9a-f]{16,}'))) AS z FROM documents) q, LATERAL (SELECT z[1] AS pos, z[2] AS x) h")
 def q34_hex_runs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[0-9a-f]{16,}"), F.lit(0))).alias("pos", "hex"))
+    from .measure import log_extracts
+
+    d = log_extracts(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("line"))).select("doc_id", F.posexplode("hexes").alias("pos", "hex"))
     return d.select("doc_id", F.col("pos").cast("long").alias("pos"), "hex")
 
 
@@ -439,7 +445,7 @@ def q42_aligned_columns(spark, sf_dir):
 def q43_transposition_inverse(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", F.rpad(F.substring("c_name", 1, 12), 12, ".").alias("v"))
     keyed = Q.row_numbers(c, "c_custkey", "row").select(F.col("row").cast("long").alias("row"), "c_custkey")
-    back = E.untranspose(E.transpose(c, "c_custkey", "v"))
+    back = E.untranspose(E.transpose(c, "c_custkey", "v", 100), 100)
     return back.join(keyed, "row").select(F.col("c_custkey").alias("row"), "value")
 
 
@@ -459,15 +465,17 @@ def q45_exact_decimals(spark, sf_dir):
 
 @query("SELECT event_id, epoch_us(ts) // 1000000 AS seconds, strftime(ts, '%Y-%m-%d %H:%M:%S') AS back FROM events")
 def q46_timestamp_text(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    parsed = F.unix_timestamp(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")))
-    return e.select("event_id", parsed.alias("seconds"), F.date_format(F.timestamp_seconds(parsed), "yyyy-MM-dd HH:mm:ss").alias("back"))
+    text = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("t"))
+    parsed = S.timestamp_seconds(F.col("t"), 0)
+    return text.select("event_id", parsed.alias("seconds"), S.timestamp_text(parsed, 0).alias("back"))
 
 
 @query()
 def q47_crc_manifest(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32"))
+    from ..operators.archive import digests
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.col("text").cast("binary").alias("content"))
+    return digests(d).select(F.col("name").alias("doc_id"), "crc32")
 
 
 # --- coders, archives, binary records ---------------------------------------------------------
@@ -481,14 +489,31 @@ def q39_codec_sizes(spark, sf_dir):
     return code_sizes(d, "doc_id", "content", ["raw", "zlib", "bz2", "lzma"])
 
 
-@query("SELECT doc_id, true AS not_worse FROM documents")
+_SIZES = "SELECT col, count(*) + sum(length(value)) AS plain, count(*) + max(own) AS coded FROM cells JOIN (SELECT col, sum(length(value) + 1) AS own FROM (SELECT DISTINCT col, value FROM cells) GROUP BY col) USING (col) GROUP BY col"
+
+
+@query(
+    f"WITH {_ORDER_CELLS}, s AS ({_SIZES}), c AS (SELECT col, 'plain' AS coder, 0 AS ordinal, plain AS bytes FROM s UNION ALL SELECT col, 'dictionary', 1, coded FROM s UNION ALL SELECT col, 'raw', -1, 3 * 15000 FROM s) "
+    "SELECT col, arg_min(coder, bytes * 10 + ordinal) AS coder, min(bytes)::BIGINT AS bytes FROM c GROUP BY col"
+)
 def q40_planner_choice(spark, sf_dir):
-    from .planner import code_sizes, never_worse
+    from .planner import narrow, never_worse
+
+    cells = order_cells(spark, sf_dir)
+    plain = cells.groupBy("col").agg((F.count(F.lit(1)) + F.sum(F.length("value"))).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    words = cells.select("col", "value").distinct().groupBy("col").agg(F.sum(F.length("value") + 1).alias("own"))
+    coded = plain.join(words, "col").select("col", (F.col("n") + F.col("own")).alias("bytes"))
+    both = plain.select("col", F.lit("plain").alias("coder"), F.lit(0).alias("ordinal"), "bytes").union(coded.select("col", F.lit("dictionary"), F.lit(1), "bytes"))
+    raw = plain.select("col", F.lit(3 * 15000).cast("long").alias("bytes"))
+    return never_worse(narrow(both, ["col"], 1), raw, ["col"])
 
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
-    raw = d.select("doc_id", F.octet_length("content").cast("long").alias("bytes"))
-    best = never_worse(code_sizes(d, "doc_id", "content", ["zlib", "bz2"]), raw, ["doc_id"])
-    return best.join(raw.withColumnRenamed("bytes", "raw"), "doc_id").select("doc_id", (F.col("bytes") <= F.col("raw")).alias("not_worse"))
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def q64_coder_round_trip(spark, sf_dir):
+    from ..functions.coders import best_coder, decoded
+
+    d = table(spark, sf_dir, "documents").select("doc_id", best_coder(F.col("text").cast("binary")).alias("c"))
+    return d.select("doc_id", F.sha2(decoded(F.col("c.coder"), F.col("c.payload")), 256).alias("sha256"))
 
 
 def order_files(spark, sf_dir):
@@ -505,16 +530,39 @@ _ORDER_FILES = (
 )
 
 
-def _packed(spark, sf_dir) -> str:
-    import tempfile
-    import uuid
+#: Archives of this session by what they hold, so that several queries read one.
+_ARCHIVES: dict[tuple[str, str, str], str] = {}
 
+
+def _archive(spark, sf_dir, name: str, files: Callable[[], DataFrame], max_files: int) -> str:
     from ..operators.archive import pack_files
+    from ..sources.shared import new_path
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="colloom-")
-    path = f"{folder.rstrip('/')}/colloom-archive-{uuid.uuid4().hex}"
-    pack_files(order_files(spark, sf_dir), path, max_files=8)
-    return path
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _ARCHIVES:
+        path = new_path(spark, "archive")
+        pack_files(files(), path, max_files=max_files)
+        _ARCHIVES[key] = path
+    return _ARCHIVES[key]
+
+
+def _packed(spark, sf_dir) -> str:
+    return _archive(spark, sf_dir, "orders", lambda: order_files(spark, sf_dir), 3)
+
+
+def _packed_texts(spark, sf_dir) -> str:
+    d = table(spark, sf_dir, "documents")
+    files = d.select(F.col("doc_id").cast("int").alias("file_ordinal"), F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("content"))
+    return _archive(spark, sf_dir, "texts", lambda: files, 64)
+
+
+@query("SELECT doc_id::VARCHAR AS name, sha256(text) AS sha256, strlen(text) AS n_bytes FROM documents")
+def q65_archive_of_texts(spark, sf_dir):
+    """Files of no common shape: their batches are stored raw."""
+    from ..operators.archive import unpack
+
+    back = unpack(spark, _packed_texts(spark, sf_dir))
+    return back.select("name", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("n_bytes"))
 
 
 @query(f"WITH {_ORDER_FILES} SELECT 'orders-' || lpad(k::VARCHAR, 2, '0') || '.csv' AS name, sha256(text) AS sha256, strlen(text) AS n_bytes FROM f")
@@ -532,7 +580,7 @@ def q49_archive_get(spark, sf_dir):
     return unpack(spark, _packed(spark, sf_dir), ["orders-13.csv"]).select("name", F.sha2("content", 256).alias("sha256"))
 
 
-@query(f"WITH {_ORDER_FILES} SELECT 'orders-' || lpad(k::VARCHAR, 2, '0') || '.csv' AS name, (k // 8)::INT AS batch_id, strlen(text) AS n_bytes FROM f")
+@query(f"WITH {_ORDER_FILES} SELECT 'orders-' || lpad(k::VARCHAR, 2, '0') || '.csv' AS name, (k // 3)::INT AS batch_id, strlen(text) AS n_bytes FROM f")
 def q50_archive_list(spark, sf_dir):
     from ..operators.archive import list_files
 
@@ -547,9 +595,12 @@ def q51_table_round_trip(spark, sf_dir):
     return back.select("file_ordinal", F.sha2("content", 256).alias("sha256"), "n_rows", "width")
 
 
-@query("SELECT ',' AS sep, 6 AS width, 1.0::DOUBLE AS share")
+@query("SELECT ';' AS sep, 3 AS width, count(*) FILTER (c_custkey % 7 != 3) / count(*) AS share FROM customer")
 def q52_sniffed_delimiter(spark, sf_dir):
-    return L.sniff(order_files(spark, sf_dir))
+    c = table(spark, sf_dir, "customer")
+    line = F.concat_ws(";", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit(';"')), F.concat(F.col("c_mktsegment"), F.when(F.col("c_custkey") % 7 == 3, ";more").otherwise("")))
+    rows = c.groupBy((F.col("c_custkey") % 5).cast("int").alias("file_ordinal")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("t"))
+    return L.sniff(rows.select("file_ordinal", F.encode(F.concat("t", F.lit("\n")), "ISO-8859-1").alias("content")))
 
 
 def binary_rows(spark, sf_dir):
@@ -562,21 +613,22 @@ def binary_rows(spark, sf_dir):
 def q53_binary_round_trip(spark, sf_dir):
     from ..operators.binary import compress_table, decompress_table
 
-    rows = binary_rows(spark, sf_dir).withColumn("content", F.encode(F.array_join(F.transform(F.split(F.decode("content", "ISO-8859-1"), ","), lambda x: x), ","), "ISO-8859-1"))
-    return decompress_table(compress_table(rows)).select("id", F.sha2("content", 256).alias("sha256"))
+    return decompress_table(compress_table(binary_rows(spark, sf_dir))).select("id", F.sha2("content", 256).alias("sha256"))
 
 
-@query()
-def q54_binary_structure(spark, sf_dir):
-    from ..operators.binary import structure
+_LINED = "l AS (SELECT l_partkey AS part, l_suppkey AS supp, 7 * l_partkey + l_linenumber + 40 AS lined, 900 - 2 * l_suppkey AS falling FROM lineitem)"
+_LINE_PAIRS = [(y, x) for y in ("part", "supp", "lined", "falling") for x in ("part", "supp", "lined", "falling") if x != y]
+
 
-    return structure(binary_rows(spark, sf_dir)).select("id", "entropy", F.col("periods")[0].alias("period"), "header", "n_segments")
+def _line_sql(y: str, x: str) -> str:
+    return f"SELECT '{y}' AS y, '{x}' AS x, a, b, {_cost(f'{y} - {x} * a - b')} AS cost, {_cost(y)} AS own FROM l, (SELECT round(regr_slope({y}, {x}))::BIGINT AS a, round(regr_intercept({y}, {x}))::BIGINT AS b FROM l) GROUP BY a, b HAVING a BETWEEN -127 AND 127 AND a != 0"
 
 
-@query("SELECT y, x, a, b FROM (VALUES ('total', 'price', 1::BIGINT)) t(y, x, a), (SELECT 0::BIGINT AS b) WHERE false")
-def q55_best_line_on_noise(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.col("event_id") * 0 + 7).alias("total"), (F.col("event_id") * 0).alias("price"))
-    return R.best_line(e, ["total", "price"]).select("y", "x", "a", "b")
+@query(f"WITH {_LINED}, c AS (" + " UNION ALL ".join(_line_sql(y, x) for y, x in _LINE_PAIRS) + ") SELECT * FROM c WHERE cost < own")
+def q55_best_lines(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    columns = li.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), (F.col("l_partkey") * 7 + F.col("l_linenumber") + 40).alias("lined"), (F.lit(900) - F.col("l_suppkey") * 2).alias("falling"))
+    return R.best_line(columns, ["part", "supp", "lined", "falling"])
 
 
 @query(
@@ -602,16 +654,18 @@ def q58_log_extract_restore(spark, sf_dir):
     return log_restore(log_extracts(d).drop("line")).select("doc_id", F.sha2(F.col("line").cast("binary"), 256).alias("sha256"))
 
 
-@query("SELECT 'parquet' AS kind, 'zstd' AS codec, true AS same UNION ALL SELECT 'orc', 'zstd', true")
-def q59_storage_sizes(spark, sf_dir):
-    import tempfile
-    import uuid
-
+@query("SELECT k.kind, 'zstd' AS codec, n_regionkey, count(*) AS n, sum(n_nationkey)::BIGINT AS keys, min(n_name) AS first_name FROM nation, (VALUES ('parquet'), ('orc')) k(kind) GROUP BY ALL")
+def q59_storage_round_trip(spark, sf_dir):
+    from ..sources.shared import new_path
     from .measure import storage_sizes
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="colloom-")
-    rows = storage_sizes(table(spark, sf_dir, "customer"), f"{folder.rstrip('/')}/colloom-sizes-{uuid.uuid4().hex}", (("parquet", "zstd"), ("orc", "zstd")))
-    return spark.createDataFrame([(k, c, same) for k, c, _, _, same in rows], "kind string, codec string, same boolean")
+    rows, path, out = table(spark, sf_dir, "nation"), new_path(spark, "sizes"), None
+    for kind, codec, size, _, same in storage_sizes(rows, path, (("parquet", "zstd"), ("orc", "zstd"))):
+        if not same or not size:
+            raise ValueError(f"{kind} gave other rows back")
+        back = spark.read.format(kind).load(f"{path}/{kind}-{codec}").select(F.lit(kind).alias("kind"), F.lit(codec).alias("codec"), "n_regionkey", "n_nationkey", "n_name")
+        out = back if out is None else out.union(back)
+    return out.groupBy("kind", "codec", "n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.sum("n_nationkey").alias("keys"), F.min("n_name").alias("first_name"))
 
 
 @query("SELECT (i * 8 // n)::INT AS file_ordinal, count(*) AS n_lines FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer) GROUP BY 1")
@@ -625,14 +679,14 @@ def q60_split_rows(spark, sf_dir):
     return files.select("file_ordinal", (F.size(F.split(F.decode("content", "ISO-8859-1"), "\n")).cast("long") - 2).alias("n_lines"))
 
 
-@query(f"WITH {_ORDER_FILES} SELECT k::BIGINT AS id, sha256(text) AS sha256, true AS smaller FROM f")
+@query(f"WITH {_ORDER_FILES} SELECT k::BIGINT AS id, sha256(text) AS sha256, strlen(text) AS raw_bytes FROM f")
 def q61_text_formats_round_trip(spark, sf_dir):
     from ..operators.binary import compress_table, decompress_table
 
     files = order_files(spark, sf_dir).select(F.col("file_ordinal").cast("long").alias("id"), "content")
     coded = compress_table(files)
     back = decompress_table(coded).select("id", F.sha2("content", 256).alias("sha256"))
-    return back.join(coded.select("id", (F.octet_length("payload") * 3 < F.col("raw_bytes")).alias("smaller")), "id")
+    return back.join(coded.select("id", "raw_bytes"), "id")
 
 
 @query(f"WITH {_ORDER_FILES}, x AS (SELECT k, string_split(rtrim(text, chr(10)), chr(10)) AS l FROM f) SELECT k AS file_ordinal, length(l[1])::INT AS first_width, len(l)::BIGINT AS n_lines FROM x")
@@ -641,7 +695,14 @@ def q62_lines(spark, sf_dir):
     return rows.groupBy("file_ordinal").agg(F.min_by(F.length("line"), "line_no").alias("first_width"), F.count(F.lit(1)).alias("n_lines"))
 
 
-@query()
+_PAIRED = "x AS (SELECT a, b FROM o WHERE shared > 1 AND shared >= 0.3 * least(n_a, n_b)), f AS (SELECT EXISTS (FROM x WHERE a = 'c_custkey' AND b = 'o_custkey') AS co, EXISTS (FROM x WHERE a = 'c_custkey' AND b = 's_suppkey') AS cs, EXISTS (FROM x WHERE a = 'o_custkey' AND b = 's_suppkey') AS os)"
+_SAMPLED = "k AS (SELECT col, greatest(1, count(*) // 300) AS step FROM cells GROUP BY col), s AS (SELECT p.col, value FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY key) - 1 AS at_ FROM cells) p JOIN k USING (col) WHERE at_ % step = 0)"
+
+
+@query(
+    f"WITH {_KEY_CELLS}, {_SAMPLED}, o AS (WITH {_OVERLAP.format(src='s')}), {_PAIRED}, g AS (SELECT 'c_custkey' AS col, 0 AS seed FROM f UNION ALL SELECT 'o_custkey', CASE WHEN co THEN 0 ELSE 1 END FROM f UNION ALL SELECT 's_suppkey', CASE WHEN cs THEN 0 WHEN NOT co AND os THEN 1 ELSE 2 END FROM f) "
+    "SELECT (dense_rank() OVER (ORDER BY seed) - 1)::INT AS group_id, col FROM g"
+)
 def q63_vocabulary_groups(spark, sf_dir):
     groups = R.vocabulary_groups(key_cells(spark, sf_dir))
     return spark.createDataFrame([(i, c) for i, g in enumerate(groups) for c in g], "group_id int, col string")

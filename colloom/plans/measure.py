@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.coders import CODERS
+from ..functions.coders import CODERS, QUALITIES, decode
 from ..operators.archive import compare, pack, unpack
 from ..sources.files import read_files
 from .planner import code_sizes
@@ -58,6 +58,58 @@ def text_table(spark: SparkSession, paths: list[str], header: bool = True) -> Da
     return out
 
 
+def typed_table(tables: list[DataFrame]) -> DataFrame:
+    """Tables of differing columns as one: a column's types are widened to long, double or, if they do not agree, text."""
+    names = list(dict.fromkeys(c for t in tables for c in t.columns))
+    kinds = {c: {t.schema[c].dataType.simpleString() for t in tables if c in t.columns} for c in names}
+    whole, real = {"tinyint", "smallint", "int", "bigint"}, {"float", "double"}
+
+    def joint(kinds: set[str]) -> str:
+        if len(kinds) == 1:
+            return next(iter(kinds))
+        return "bigint" if kinds <= whole else "double" if kinds <= whole | real else "string"
+
+    out = None
+    for t in tables:
+        one = t.select(*((F.col(f"`{c}`") if c in t.columns else F.lit(None)).cast(joint(kinds[c])).alias(c) for c in names))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def delta_ablation(df: DataFrame, key: str, columns: list[str], block: int = 1 << 16, coders: tuple[str, ...] = ("raw", "bz2", "lzma")) -> DataFrame:
+    """(col, coder, plain_bytes, delta_bytes): whole numbers as text, one a line in blocks of rows, with and without differences."""
+    from ..operators.encodings import delta
+    from ..operators.sequences import row_numbers
+
+    rows, parts = row_numbers(df.select(key, *columns), key, "__place"), None
+    for c in columns:
+        both = delta(rows.select("__place", c), "__place", c)
+        for kind, value in (("plain", c), ("delta", "delta")):
+            lines = F.transform(F.sort_array(F.collect_list(F.struct("__place", F.col(value).cast("string").alias("v")))), lambda x: x["v"])
+            one = both.groupBy(F.floor(F.col("__place") / block).alias("b")).agg(F.array_join(lines, "\n").cast("binary").alias("content"))
+            one = one.select(F.struct(F.lit(c).alias("col"), F.lit(kind).alias("kind"), "b").alias("part"), "content")
+            parts = one if parts is None else parts.union(one)
+    sizes = code_sizes(parts, "part", "content", list(coders)).groupBy(F.col("part.col").alias("col"), "coder")
+    total = lambda kind: F.sum(F.when(F.col("part.kind") == kind, F.col("bytes"))).alias(f"{kind}_bytes")
+    return sizes.agg(total("plain"), total("delta"))
+
+
+def quality_sweep(rows: DataFrame, key: str, content: str, coder: str) -> DataFrame:
+    """(key, quality, bytes, exact): each value at each of the coder's QUALITIES, and whether it comes back."""
+    levels = QUALITIES[coder]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out = [(k, q, len(c := f(x)), decode(coder, c) == x) for k, x in zip(keys, values) if x is not None for q, f in levels.items()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["key", "quality", "bytes", "exact"])
+
+    return rows.select(F.col(key).cast("long").alias("key"), content).mapInArrow(run, "key long, quality long, bytes long, exact boolean")
+
+
 def throughput(spark: SparkSession, source: str, path: str) -> dict[str, float | int | bool]:
     """Bytes in and out, seconds to pack, to read back, and whether every file is the same again."""
     start = time.perf_counter()

@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the formats.
-QUALITY = b"DRQM"
 STEIM2 = 11
 FRAME = 64
 SAC_HEADER = 632
-SAC_KINDS = range(1, 6)
+#: File kinds of SAC headers; -12345 stands for an unset field.
+SAC_KINDS = (-12345, 1, 2, 3, 4, 5)
+SAC_SAMPLES = 1 << 28
+#: Bytes after the header that a cut file has more than.
+SAC_CUT = 4096
 #: Packings of a Steim-2 word by (nibble, upper two bits): how many differences, of how many bits.
 PACKINGS = {(1, None): (4, 8), (2, 1): (1, 30), (2, 2): (2, 15), (2, 3): (3, 10), (3, 0): (5, 6), (3, 1): (6, 5), (3, 2): (7, 4)}
 
@@ -44,13 +47,16 @@ def mini_seed(data: bytes) -> dict | None:
 
 
 def sac(data: bytes) -> dict | None:
-    """Byte order and number of samples of a version 6 header with that many floats after it, or fewer in a cut file."""
-    if len(data) < SAC_HEADER:
+    """Byte order and samples of a version 6 header with as many floats after it as it declares, or fewer in a cut file."""
+    if len(data) < SAC_HEADER + 4:
         return None
     for order in "<>":
         version, npts, kind = (struct.unpack_from(order + "i", data, at)[0] for at in (304, 316, 340))
-        if version == 6 and kind in SAC_KINDS and npts > 0 and (len(data) - SAC_HEADER) % 4 == 0 and len(data) <= SAC_HEADER + 8 * npts:
-            return {"format": "sac", "big": order == ">", "samples": npts, "truncated": len(data) < SAC_HEADER + 4 * npts}
+        if version != 6 or kind not in SAC_KINDS or not 0 < npts <= SAC_SAMPLES:
+            continue
+        body, whole = len(data) - SAC_HEADER, 4 * npts
+        if body == whole or body < whole and body % 4 == 0 and body > SAC_CUT:
+            return {"format": "sac", "big": order == ">", "samples": body // 4, "declared": npts, "truncated": body < whole}
     return None
 
 
@@ -99,7 +105,7 @@ def describe(data: bytes) -> str:
 
 def detect_table(files: DataFrame) -> DataFrame:
     """files with `format` and `details` (a map, null where nothing is known)."""
-    schema = files.select("file_ordinal", F.lit("").alias("format"), F.create_map(F.lit(""), F.lit("")).alias("details")).schema
+    schema = f"file_ordinal {files.schema['file_ordinal'].dataType.simpleString()}, format string, details map<string,string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +211,10 @@ def records(data: bytes) -> list[tuple[int, int, int]] | None:
 
 
 def sample_rows(files: DataFrame) -> DataFrame:
-    """(file_ordinal, record_no, sample_no, value) of Steim-2 files; files of other kinds have no rows."""
+    """(file_ordinal, record_no, sample_no, value) of Steim-2 files; files of other kinds have no rows.
+
+    A record that does not decode is one row with a null sample_no and value.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,13 +223,51 @@ def sample_rows(files: DataFrame) -> DataFrame:
                 size = mini_seed(data)["record"] if found else 0
                 for k, at, n in found or ():
                     s = steim2_samples(data[at : (k + 1) * size], n)
-                    if s is not None:
-                        cols = [pa.array([ordinal] * n, pa.int32()), pa.array([k] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(s, pa.int64())]
-                        yield pa.RecordBatch.from_arrays(cols, names=["file_ordinal", "record_no", "sample_no", "value"])
+                    places, s = (range(n), s) if s is not None else ([None], [None])
+                    cols = [pa.array([ordinal] * len(s), pa.int32()), pa.array([k] * len(s), pa.int32()), pa.array(places, pa.int32()), pa.array(s, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["file_ordinal", "record_no", "sample_no", "value"])
 
     return files.select(F.col("file_ordinal").cast("int").alias("file_ordinal"), "content").mapInArrow(run, "file_ordinal int, record_no int, sample_no int, value long")
 
 
+def mini_seed_file(samples: list[int], per_record: int = 100, length: int = 512) -> bytes | None:
+    """A Steim-2 file of the samples, per_record in each record; None if a difference does not fit."""
+    out, before = [], 0
+    for k, at in enumerate(range(0, len(samples), per_record)):
+        part = samples[at : at + per_record]
+        body = steim2_encode(part, before, (length - FRAME) // FRAME)
+        if body is None:
+            return None
+        head = b"%06dD STA  00BHZNT" % (k % 10**6) + bytes(10) + struct.pack(">H", len(part)) + bytes(12) + struct.pack(">HH", FRAME, 48)
+        out.append((head + struct.pack(">HHBBBB", 1000, 0, STEIM2, 1, length.bit_length() - 1, 0)).ljust(FRAME, b"\0") + body)
+        before = part[-1]
+    return b"".join(out)
+
+
+def mini_seed_files(series: DataFrame, per_record: int = 100) -> DataFrame:
+    """(file_ordinal, content) of series(file_ordinal, samples array<long>): a file is what one task holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([mini_seed_file(s or [], per_record) for s in batch.column(1).to_pylist()], pa.binary())], names=["file_ordinal", "content"])
+
+    return series.select(F.col("file_ordinal").cast("int").alias("file_ordinal"), "samples").mapInArrow(run, "file_ordinal int, content binary")
+
+
+def record_table(files: DataFrame) -> DataFrame:
+    """(file_ordinal, record_no, n_samples, rebuilt) of Steim-2 files; rebuilt: the file's samples give its frames again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ordinal, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if found := records(data or b""):
+                    n, good = len(found), can_rebuild(data)
+                    cols = [pa.array([ordinal] * n, pa.int32()), pa.array([k for k, _, _ in found], pa.int32()), pa.array([c for _, _, c in found], pa.int32()), pa.array([good] * n)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["file_ordinal", "record_no", "n_samples", "rebuilt"])
+
+    return files.select(F.col("file_ordinal").cast("int").alias("file_ordinal"), "content").mapInArrow(run, "file_ordinal int, record_no int, n_samples int, rebuilt boolean")
+
+
 def can_rebuild(data: bytes) -> bool:
     """Whether encoding the samples again gives every record's frames, so that samples may stand for them."""
     found = records(data)

@@ -146,6 +146,16 @@ def looks_like_fasta(files: DataFrame) -> DataFrame:
     return files.select("file_ordinal", F.coalesce(text.startswith(">") & (bases > 0.9 * F.length(F.replace(body, F.lit("\n"), F.lit("")))), F.lit(False)).alias("is_fasta"))
 
 
+def gather_by_name(rows: DataFrame) -> DataFrame:
+    """(name, file_ordinal, row_no, value): each column by its name in the file's first row, in which quotes are dropped.
+
+    rows: file_ordinal, row_no, fields. Fields beyond the header have no name and are left out.
+    """
+    heads = rows.filter("row_no = 0").select("file_ordinal", F.transform("fields", lambda x: F.trim(F.trim(x), F.lit('"'))).alias("names"))
+    cells = rows.filter("row_no > 0").select("file_ordinal", (F.col("row_no") - 1).alias("row_no"), F.posexplode("fields").alias("at", "value"))
+    return cells.join(heads, "file_ordinal").filter(F.col("at") < F.size("names")).select(F.get("names", F.col("at")).alias("name"), "file_ordinal", "row_no", "value")
+
+
 def aligned_columns(rows: DataFrame) -> DataFrame:
     """(col_no, gpos, file_ordinal, row_no, value): each column over all files, in file and row order."""
     per_file = rows.groupBy("file_ordinal").agg(F.max("row_no").alias("last"))

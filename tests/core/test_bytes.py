@@ -139,8 +139,12 @@ def test_coders():
             assert decode(name, encode(name, data)) == data
     assert best(b"")[0] == "raw"
     assert len(best(bytes(10**6))[1]) < 2000
-    with pytest.raises(ValueError):
-        decode("zlib", encode("zlib", b"a") + b"x")
+    for name in CODERS:
+        if name not in ("raw", "brotli"):
+            with pytest.raises(ValueError):
+                decode(name, encode(name, b"abc" * 99) + b"x")
+            with pytest.raises(ValueError):
+                decode(name, encode(name, b"abc" * 99)[:-3])
     with pytest.raises(ValueError):
         decode("nothing", b"")
 
@@ -174,7 +178,12 @@ def test_other_containers():
     struct.pack_into("<i", head, 316, 100)
     struct.pack_into("<i", head, 340, 1)
     assert C.detect(bytes(head) + f.tobytes())["samples"] == 100
-    assert C.sac(bytes(head) + f.tobytes()[:40])["truncated"]
+    assert C.sac(bytes(head) + f.tobytes()[:40]) is None
+    struct.pack_into("<i", head, 316, 9000)
+    struct.pack_into("<i", head, 340, -12345)
+    cut = C.sac(bytes(head) + bytes(8000))
+    assert cut["truncated"] and (cut["samples"], cut["declared"]) == (2000, 9000)
+    assert C.sac(bytes(head) + bytes(8001)) is None
     wav = b"RIFF" + struct.pack("<I", 100) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 2, 8000, 32000, 4, 16) + b"data" + struct.pack("<I", 8) + bytes(8)
     assert C.detect(wav)["channels"] == 2
     assert C.detect(f.tobytes())["format"] == "float32"

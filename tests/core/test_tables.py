@@ -326,3 +326,40 @@ def test_difference_columns():
     methods = {c["col_no"]: c["method"] for notes, _ in groups for c in notes}
     assert methods[3] == "difference"
     assert K.render(parsed, K.decode_columns(groups, parsed)) == [text, text[: text.index(b"\n") + 1]]
+
+
+def test_sparse_keys_make_few_blocks(spark):
+    """Keys far apart (hashes, timestamps) are cut by their span, so summaries stay a fraction of the rows."""
+    r = random.Random(5)
+    keys = [r.randint(-(2**62), 2**62) for _ in range(500)]
+    df = spark.createDataFrame([(k, 1) for k in keys], "k long, v long")
+    low, width = Q.key_span(df, "k", 50)
+    assert len({(k - low) // width for k in keys}) <= 10
+    got = {r["k"]: r["s"] for r in Q.running_sum(df, "k", "v", "s", block=50).collect()}
+    assert got == {k: i + 1 for i, k in enumerate(sorted(keys))}
+
+
+def test_dictionary_of_many_values(spark):
+    df = spark.createDataFrame([(f"v{i * 7919 % 3000}",) for i in range(6000)] + [(None,)], "value string")
+    got = {r["value"]: r["code"] for r in E.dictionary(df, "value").collect()}
+    assert got == {v: i for i, v in enumerate(sorted({f"v{i}" for i in range(3000)}))}
+
+
+def test_ragged_rows_and_timestamps():
+    rows = [b"%d,2024-01-01 00:%02d:%02d,2024-01-01 01:%02d:%02d" % (i, i // 60, i % 60, i // 60, i % 60) + (b",extra" if i % 9 == 4 else b"") for i in range(600)]
+    data = b"\n".join(rows) + b"\n"
+    parsed = K.parse([data])
+    assert parsed.width == 3
+    groups = K.encode_columns(parsed)
+    assert K.render(parsed, K.decode_columns(groups, parsed)) == [data]
+    assert K.parse([b"a,b\n" * 20 + b"a,b,c,d\n"]) is None
+    for stamp in (b"2024-02-29 23:59:59", b"2024-02-29T23:59:59", b"1969/12/31 00:00:01"):
+        kind, ints = K.timestamps([stamp])
+        assert K._number_text(ints[0], kind) == stamp
+    assert K.timestamps([b"2024-02-30 00:00:00"]) is None and K.timestamps([b"2024-02-29 24:00:00"]) is None
+
+
+def test_split_groups_keep_related_columns():
+    assert K.split_groups(8, []) == [[0, 4], [1, 5], [2, 6], [3, 7]]
+    out = K.split_groups(9, [(0, 8), (8, 3)])
+    assert sorted(c for g in out for c in g) == list(range(9)) and any({0, 3, 8} <= set(g) for g in out)
