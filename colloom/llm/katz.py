@@ -12,8 +12,8 @@ Tables are partitioned by context: `part` holds all pairs of its contexts, so co
 weights are local to it. Contexts with a large share of all words are spread over the parts by the
 next word, and the few sums that they need are put together. Only P(w) of a seen pair lies in another
 part; it is asked for once per part and word. Pairs travel in packed blocks: a block of documents
-sends each part one value with its sorted contexts, next words and places. A block's documents get
-one partial sum from each part. What comes to the driver has a fixed size: counts of counts, and the
+sends each part one value with its contexts, a list of next words, and pairs and documents as places
+in those. A block's documents get one partial sum from each part. What comes to the driver has a fixed size: counts of counts, and the
 figures of at most SPREAD spread contexts.
 """
 
@@ -22,13 +22,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, even_keys, frugal, hash_words, lengths, mix, pack, split_words, starts, stored, unpack
+from .common import even_keys, frugal, lengths, mix, pack, small_batches, split_words, starts, stored, unpack
 
 #: Hash of the boundary mark; no word has it but for a clash of 64 bits.
 MARK = np.uint64(0x2545F4914F6CDD1D)
@@ -36,6 +38,9 @@ MIN_COUNT = 1
 CUTOFF = 5
 SPREAD = 512
 BLOCK_TOKENS = 5 << 19
+#: Different words from which on a block ends; one run of words more fits WORD_BITS, so that a pair and its part are one 64-bit number.
+BLOCK_WORDS = 1 << 20
+WORD_BITS = 21
 _BATCH_WORDS = 1 << 19
 ROW = "part int, kind int, block long, payload binary"
 _NAMES = ["part", "kind", "block", "payload"]
@@ -53,6 +58,14 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
+class LocalIds(dict):
+    """Words numbered from 1 as they come; 0 is the mark."""
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self) + 1
+        return i
+
+
 class Routes:
     """The part of a pair: by its context, or by both words where the context is spread."""
 
@@ -67,10 +80,13 @@ class Routes:
     def of_word(self, v: np.ndarray) -> np.ndarray:
         return self.keys[(mix(v) % np.uint64(len(self.keys))).astype(np.int64)]
 
-    def of_pair(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        out, at = self.of_word(v), self.is_spread(v)
-        out[at] = self.keys[(mix(v[at] * np.uint64(3) + w[at]) % np.uint64(len(self.keys))).astype(np.int64)]
-        return out
+    def numbers(self, block: Block) -> np.ndarray:
+        """For each token one number of its part's place, its context's and its own, which sorts in that order."""
+        v, w = block.v, block.w
+        part = (mix(block.words) % np.uint64(len(self.keys)))[v]
+        at = np.flatnonzero(self.is_spread(block.words)[v])
+        part[at] = mix(block.words[v[at]] * np.uint64(3) + block.words[w[at]]) % np.uint64(len(self.keys))
+        return part << np.uint64(2 * WORD_BITS) | v.astype(np.uint64) << np.uint64(WORD_BITS) | w.astype(np.uint64)
 
     def asked(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words of pairs whose counts other parts know, and these parts, in whose order answers come."""
@@ -80,9 +96,27 @@ class Routes:
         return words[order], owner[order]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], train_only: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, contexts, next words, document numbers) of blocks of documents."""
-    known, keys, vs, ws, ds, size = WordHashes(), [], [], [], [], 0
+@dataclass
+class Block:
+    """Tokens of some documents: doc_ids, hashes of the different words in ascending order, and of each
+    token its context and itself (as places in words) and its document's number."""
+
+    keys: list
+    words: np.ndarray
+    v: np.ndarray
+    w: np.ndarray
+    d: np.ndarray
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], train_only: bool) -> Iterator[Block]:
+    known, keys, vs, ws, ds, size = LocalIds(), [], [], [], [], 0
+
+    def block() -> Block:
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+        words, place = np.unique(np.insert(h, 0, MARK), return_inverse=True)
+        place = place.astype(np.uint32)
+        return Block(keys, words, place[np.concatenate(vs)], place[np.concatenate(ws)], np.concatenate(ds))
+
     for batch in batches:
         ids, texts, a = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
         while a < len(texts):
@@ -93,17 +127,36 @@ def _blocks(batches: Iterator[pa.RecordBatch], train_only: bool) -> Iterator[tup
                     own.append(ids[a])
                     n += len(lists[-1])
                 a += 1
-            flat, ends = hash_words(lists, known)
-            ws.append(np.insert(flat, ends[1:], MARK))
-            vs.append(np.insert(flat, ends[:-1], MARK))
+            ends = np.zeros(len(lists) + 1, dtype=np.int64)
+            np.cumsum([len(x) for x in lists], out=ends[1:])
+            flat = np.fromiter(map(known.__getitem__, chain.from_iterable(lists)), np.uint32, int(ends[-1]))
+            del lists
+            ws.append(np.insert(flat, ends[1:], 0))
+            vs.append(np.insert(flat, ends[:-1], 0))
             ds.append(np.repeat(np.arange(len(keys), len(keys) + len(own), dtype=np.uint32), np.diff(ends) + 1))
             keys += own
             size += len(vs[-1])
-            if size >= BLOCK_TOKENS:
-                yield keys, np.concatenate(vs), np.concatenate(ws), np.concatenate(ds)
-                keys, vs, ws, ds, size = [], [], [], [], 0
+            if size >= BLOCK_TOKENS or len(known) >= BLOCK_WORDS:
+                yield block()
+                known, keys, vs, ws, ds, size = LocalIds(), [], [], [], [], 0
     if keys:
-        yield keys, np.concatenate(vs), np.concatenate(ws), np.concatenate(ds)
+        yield block()
+
+
+def _messages(number: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int, int, tuple[np.ndarray, ...]]]:
+    """For each part in sorted numbers its place, first and last token, and what it is sent.
+
+    That is: contexts, how many pairs each has, next words, the pairs' places in those, how many tokens each pair has.
+    """
+    part, low = number >> np.uint64(2 * WORD_BITS), np.uint64((1 << WORD_BITS) - 1)
+    cuts = np.append(starts(part), len(part))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        s = starts(number[a:b])
+        pair = number[a:b][s]
+        v, w = pair >> np.uint64(WORD_BITS) & low, pair & low
+        at = starts(v)
+        own, place = np.unique(w, return_inverse=True)
+        yield int(part[a]), a, b, (words[v[at]], lengths(at, len(v)).astype(np.uint32), words[own], place.astype(np.uint32), lengths(s, b - a).astype(np.uint32))
 
 
 def common_words(docs: DataFrame, parts: int) -> np.ndarray:
@@ -115,10 +168,11 @@ def common_words(docs: DataFrame, parts: int) -> np.ndarray:
 
     @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, v, _, _ in _blocks(batches, False):
-            h, n = np.unique(v, return_counts=True)
-            at = n * 16 * parts >= len(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(h[at], 0).view(np.int64)), pa.array(np.append(n[at], 0).astype(np.int64)), pa.array(np.append(np.zeros(at.sum()), len(v)).astype(np.int64))], names=["h", "n", "all"])
+        for block in _blocks(batches, False):
+            n, total = np.bincount(block.v, minlength=len(block.words)), len(block.v)
+            at = n * 16 * parts >= total
+            cols = [np.append(block.words[at], np.uint64(0)).view(np.int64), np.append(n[at], 0), np.append(np.zeros(at.sum(), np.int64), total)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "n", "all"])
 
     seen = docs.select("doc_id", "text").mapInArrow(count, "h long, n long, all long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
     rows = seen.orderBy(F.desc("all"), F.desc("n"), "h").limit(SPREAD + 1).collect()
@@ -189,23 +243,18 @@ class Katz:
 def train(docs: DataFrame, parts: int | None = None) -> Katz:
     """The model of the documents that are not held out. docs: doc_id, text."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = parts or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     routes = Routes(even_keys(spark, parts), common_words(docs, parts))
 
     @frugal
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, v, w, _ in _blocks(batches, True):
-            part = routes.of_pair(v, w)
-            order = np.lexsort((w, v, part))
-            part, v, w = part[order], v[order], w[order]
-            at = starts(part, v, w)
-            n = lengths(at, len(v)).astype(np.uint32)
-            part, v, w = part[at], v[at], w[at]
-            cuts = np.append(starts(part), len(part))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                s = starts(v[a:b])
-                yield row_batch([(int(part[a]), COUNTS, 0, pack(v[a:b][s], lengths(s, b - a).astype(np.uint32), w[a:b], n[a:b]))])
+        for block in _blocks(batches, True):
+            number = routes.numbers(block)
+            number.sort()
+            for part, _, _, payload in _messages(number, block.words):
+                yield row_batch([(int(routes.keys[part]), COUNTS, 0, pack(*payload))])
 
     @frugal
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,24 +263,28 @@ def train(docs: DataFrame, parts: int | None = None) -> Katz:
         def close() -> Iterator[pa.RecordBatch]:
             if not got:
                 return
-            v = np.concatenate([np.repeat(x[0], x[1]) for x in got])
-            w, n = np.concatenate([x[2] for x in got]), np.concatenate([x[3] for x in got]).astype(np.int64)
+            ctx, words = (np.unique(np.concatenate([x[i] for x in got])) for i in (0, 2))
+            v = np.concatenate([np.repeat(np.searchsorted(ctx, x[0]), x[1]) for x in got]).astype(np.uint64)
+            number = v << np.uint64(32) | np.concatenate([np.searchsorted(words, x[2])[x[3]] for x in got]).astype(np.uint64)
+            n = np.concatenate([x[4] for x in got])
             got.clear()
-            order = np.lexsort((w, v))
-            v, w, n = v[order], w[order], n[order]
-            at = starts(v, w)
-            v, w, r = v[at], w[at], np.add.reduceat(n, at)
-            s = starts(v)
-            ctx, c = v[s], np.add.reduceat(r, s)
+            order = np.argsort(number)
+            number, n = number[order], n[order].astype(np.int64)
+            at = starts(number)
+            r, number = np.add.reduceat(n, at), number[at]
+            w = (number & np.uint64(2**32 - 1)).astype(np.uint32)
+            s = starts(number >> np.uint64(32))
+            c = np.add.reduceat(r, s)
             shared = routes.is_spread(ctx)
             counts = np.bincount(np.minimum(r, CUTOFF + 2), minlength=CUTOFF + 3)
-            words = np.bincount(np.minimum(c[~shared], CUTOFF + 2), minlength=CUTOFF + 3)
-            rows = [(now, SUMS, 0, pack(counts, words, np.array([c[~shared].sum(), (~shared).sum()]), ctx[shared], c[shared]))]
+            singles = np.bincount(np.minimum(c[~shared], CUTOFF + 2), minlength=CUTOFF + 3)
+            rows = [(now, SUMS, 0, pack(counts, singles, np.array([c[~shared].sum(), (~shared).sum()]), ctx[shared], c[shared]))]
             keep = r >= MIN_COUNT
             kept = np.add.reduceat(keep, s).astype(np.uint32)
             rows.append((now, CONTEXTS, 0, pack(ctx, c.astype(np.uint32) if c.max() < 2**32 else c, kept)))
-            rows.append((now, PAIRS, 0, pack(w[keep], r[keep].astype(np.uint32) if r.max() < 2**32 else r[keep])))
-            asked, owner = routes.asked(w[keep])
+            used, place = np.unique(w[keep], return_inverse=True)
+            rows.append((now, PAIRS, 0, pack(words[used], place.astype(np.uint32), r[keep].astype(np.uint32) if r.max() < 2**32 else r[keep])))
+            asked, owner = routes.asked(words[used])
             cuts = np.append(starts(owner), len(owner))
             rows += [(int(owner[a]), ASKED, now, pack(asked[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
             yield row_batch(rows)
@@ -296,18 +349,18 @@ class Part:
 
     def __init__(self, f: Figures, rows: dict[int, list[list[np.ndarray]]]):
         ctx, c, kept = rows[CONTEXTS][0] if rows.get(CONTEXTS) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        w, r = rows[PAIRS][0] if rows.get(PAIRS) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        words, _ = f.routes().asked(w)
+        words, place, r = rows[PAIRS][0] if rows.get(PAIRS) else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        asked, _ = f.routes().asked(words)
         counts = np.concatenate([x[0] for x in rows.get(ANSWERS, [])] or [np.zeros(0, np.int64)]).astype(np.int64)
-        order = np.argsort(words)
-        c_w = _find(words[order], counts[order], w)
-        spread = f.routes().is_spread(w)
-        c_w[spread] = _find(f.spread, f.spread_counts, w[spread])
+        order = np.argsort(asked)
+        c_w = _find(asked[order], counts[order], words)
+        spread = f.routes().is_spread(words)
+        c_w[spread] = _find(f.spread, f.spread_counts, words[spread])
         self.shared = f.routes().is_spread(ctx)
         c = c.astype(np.int64)
         c[self.shared] = _find(f.spread, f.spread_counts, ctx[self.shared])
         owner = np.repeat(np.arange(len(ctx)), kept.astype(np.int64))
-        p, p_w = f.p_pair(r, c[owner]), f.p_word(c_w)
+        p, p_w = f.p_pair(r, c[owner]), f.p_word(c_w)[place]
         self.seen = np.bincount(owner, p, len(ctx))
         self.seen_words = np.bincount(owner, p_w, len(ctx))
         self.log_a, scale = log_backoff(self.seen, self.seen_words, c)
@@ -315,10 +368,21 @@ class Part:
             at = np.searchsorted(f.spread, ctx[self.shared])
             self.log_a[self.shared] = f.spread_log_a[at, 0] if f.spread_log_a.ndim == 2 else 0.0
             scale[self.shared] = f.spread_log_a[at, 1] if f.spread_log_a.ndim == 2 else 1.0
-        self.ctx, self.c = ctx, c
-        key = mix(ctx[owner] * np.uint64(0x9E3779B97F4A7C15) + w)
-        order = np.argsort(key)
-        self.key, self.gain = key[order], (np.log10(p * scale[owner]) - np.log10(p_w))[order]
+        self.ctx, self.c, self.words = ctx, c, words
+        # Pairs are in the order of context and word, so their numbers ascend.
+        self.pair = owner * max(len(words), 1) + place
+        self.gain = np.log10(p * scale[owner]) - np.log10(p_w)
+
+    def gains(self, ctx: np.ndarray, owner: np.ndarray, words: np.ndarray, place: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+        """log10 P(w | v) - log10 P(w) of pairs (ctx[owner], words[place]) that the model holds, `otherwise` for others."""
+        if not len(self.pair):
+            return otherwise
+        v, w = np.searchsorted(self.ctx, ctx), np.searchsorted(self.words, words)
+        v_known = self.ctx[np.minimum(v, len(self.ctx) - 1)] == ctx
+        w_known = self.words[np.minimum(w, len(self.words) - 1)] == words
+        wanted = v[owner] * len(self.words) + w[place]
+        at = np.minimum(np.searchsorted(self.pair, wanted), len(self.pair) - 1)
+        return np.where((self.pair[at] == wanted) & v_known[owner] & w_known[place], self.gain[at], otherwise)
 
 
 def _spread_backoff(model: Katz) -> None:
@@ -371,16 +435,12 @@ def score(docs: DataFrame, model: Katz) -> DataFrame:
         from pyspark import TaskContext
 
         routes, block = figures.value.routes(), TaskContext.get().partitionId() << 24
-        for keys, v, w, d in _blocks(batches, False):
-            part = routes.of_pair(v, w)
-            order = np.lexsort((w, v, part))
-            part, v, w, d = part[order], v[order], w[order], d[order]
-            cuts = np.append(starts(part), len(part))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                pv, pw, pd = v[a:b], w[a:b], d[a:b]
-                s = starts(pv, pw)
-                sv = starts(pv[s])
-                yield row_batch([(int(part[a]), TOKENS, block, pack(pv[s][sv], lengths(sv, len(s)).astype(np.uint32), pw[s], lengths(s, b - a).astype(np.uint32), pd))])
+        for some in _blocks(batches, False):
+            number, keys = routes.numbers(some), some.keys
+            order = np.argsort(number)
+            number, d = number[order], some.d[order]
+            for part, a, b, payload in _messages(number, some.words):
+                yield row_batch([(int(routes.keys[part]), TOKENS, block, pack(*payload, d[a:b]))])
             ids = np.array([0 if k is None else k for k in keys], dtype=np.int64)
             null = np.array([k is None for k in keys], dtype=np.uint8)
             yield row_batch([(int(f.keys[block % len(f.keys)]), DOCUMENTS, block, pack(ids, null))])
@@ -396,7 +456,7 @@ def score(docs: DataFrame, model: Katz) -> DataFrame:
             if kind == DOCUMENTS:
                 yield row_batch([(0, DOCUMENTS, block, payload)])
                 continue
-            ctx, n_pairs, w, n, d = unpack(payload)
+            ctx, n_pairs, words, place, n, d = unpack(payload)
             c = _find(part.ctx, part.c, ctx)
             spread = f.routes().is_spread(ctx)
             c[spread] = _find(f.spread, f.spread_counts, ctx[spread])
@@ -405,11 +465,7 @@ def score(docs: DataFrame, model: Katz) -> DataFrame:
             if spread.any():
                 log_a[spread] = np.where(c[spread] > 0, f.spread_log_a[np.searchsorted(f.spread, ctx[spread]), 0], 0.0)
             owner = np.repeat(np.arange(len(ctx)), n_pairs.astype(np.int64))
-            key = mix(ctx[owner] * np.uint64(0x9E3779B97F4A7C15) + w)
-            gain = log_a[owner]
-            if len(part.key):
-                at = np.minimum(np.searchsorted(part.key, key), len(part.key) - 1)
-                gain = np.where(part.key[at] == key, part.gain[at], gain)
+            gain = part.gains(ctx, owner, words, place, log_a[owner])
             gain = gain + np.log10(f.p_word(c))[owner]
             base = (np.log10(c + 0.5) - total)[owner]
             n = n.astype(np.int64)
