@@ -9,7 +9,8 @@
    chain so far of each place, of matches within MAX_GAP words only; the words passed over on either
    side cost GAP_COST each.
 4. The words of both sides are fetched for chains that are long enough, gaps between seeds and both
-   ends are aligned, and passages of MIN_WORDS with enough equal words are returned.
+   ends are aligned, and passages of MIN_WORDS with enough equal words are returned. A chain with too
+   few is cut at the gap with the most unequal words, and both parts are judged in its place.
 5. Seeds that occur earlier but are in no passage are looked up once more, in runs of up to 16 of them,
    each joined with its own first place: what single seeds of a passage share with several earlier
    documents, a longer run shares with fewer. Steps 3 and 4 follow for these matches.
@@ -347,6 +348,22 @@ def align(a: list[bytes], b: list[bytes], xs: list[int], ys: list[int], k: int =
     return xs[0] - ei, x + di, ys[0] - ej, y + dj, equal + n + m
 
 
+def judged(a: list[bytes], b: list[bytes], xs: list[int], ys: list[int], min_words: int, identity: float) -> Iterator[tuple[int, int, int, int, int, float]]:
+    """align() of the chain (xs, ys) with its identity if that is enough, else of what is left after cutting it at its worst gap."""
+    left = [(xs, ys)]
+    while left:
+        xs, ys = left.pop()
+        x0, x1, y0, y1, equal = align(a, b, xs, ys)
+        same = 2 * equal / (x1 - x0 + y1 - y0)
+        if same >= identity:
+            if max(x1 - x0, y1 - y0) >= min_words:
+                yield x0, x1, y0, y1, equal, same
+        elif len(xs) > 1:
+            odd = [max(p - x, q - y) - _edit(a[x + K : p], b[y + K : q]) for x, y, p, q in zip(xs, ys, xs[1:], ys[1:])]
+            cut = max(range(len(odd)), key=lambda i: (odd[i], -i)) + 1
+            left += [(xs[cut:], ys[cut:]), (xs[:cut], ys[:cut])]
+
+
 PASSAGE_SCHEMA = "doc_id long, source_doc_id long, start int, end int, source_start int, source_end int, n_equal int, identity double"
 
 
@@ -431,9 +448,7 @@ def _aligned(rows: DataFrame, matched: DataFrame, min_words: int, identity: floa
                 return
             doc, src, pos, spos = got[-1]
             (fa, a), (fb, b) = got[0], got[1]
-            x0, x1, y0, y1, equal = align(a.split(), b.split(), [x - fa for x in pos], [y - fb for y in spos])
-            same = 2 * equal / (x1 - x0 + y1 - y0)
-            if max(x1 - x0, y1 - y0) >= min_words and same >= identity:
+            for x0, x1, y0, y1, equal, same in judged(a.split(), b.split(), [x - fa for x in pos], [y - fb for y in spos], min_words, identity):
                 yield doc, src, x0 + fa, x1 + fa, y0 + fb, y1 + fb, equal, round(same, 6)
 
         rows: list[tuple] = []

@@ -125,6 +125,50 @@ def test_seeds_that_occur_first_elsewhere(spark):
     assert got[300, 100]["n_equal"] == 59
 
 
+@pytest.mark.parametrize("gap", [0, 3, 40, 50, 64, 65, 90, 200, 650, 900, 1200, 1500])
+def test_passages_of_one_pair_at_any_gap(spark, gap):
+    """Two shared passages of a pair are found whatever stands between them: as one where the whole is equal enough."""
+    r = random.Random(gap)
+    one, two = prose(r, 60), prose(r, 60)
+    docs = {1: prose(r, 9) + one + prose(r, gap) + two, 2: one + prose(r, gap) + two + prose(r, 5)}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string")
+    found = D.fuzzy_passages(df).collect()
+    covered = {i for x in found for i in range(x["start"], x["end"])}
+    wanted = {*range(60), *range(60 + gap, 120 + gap)}
+    assert wanted <= covered and all(x["identity"] >= 0.8 for x in found)
+
+
+def test_recall_against_all_pairs(spark):
+    """Every run of 51 equal words in an earlier document, by brute force over all pairs, lies in a passage."""
+    r = random.Random(11)
+    pool = [prose(r, 160) for _ in range(12)]
+    rows = []
+    for d in range(70):
+        words = prose(r, r.randrange(30))
+        for _ in range(r.randrange(4)):
+            p = r.choice(pool)
+            a = r.randrange(100)
+            words += p[a : a + r.randrange(20, 130)] + prose(r, r.choice([0, 2, 30, 70, 400]))
+        rows.append((d, words))
+    first = {}
+    wanted, by_doc = 0, {}
+    for d, words in rows:
+        hits = {i for i in range(len(words) - 50) if first.get(tuple(words[i : i + 51]), d) != d}
+        by_doc[d] = {j for i in hits for j in range(i, i + 51)}
+        wanted += len(by_doc[d])
+        for i in range(len(words) - 50):
+            first.setdefault(tuple(words[i : i + 51]), d)
+    got = {}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    texts = dict(rows)
+    for x in D.fuzzy_passages(df).collect():
+        got.setdefault(x["doc_id"], set()).update(range(x["start"], x["end"]))
+        assert x["source_doc_id"] < x["doc_id"] and x["n_equal"] <= min(x["end"] - x["start"], x["source_end"] - x["source_start"])
+        assert len(set(texts[x["doc_id"]][x["start"] : x["end"]]) & set(texts[x["source_doc_id"]][x["source_start"] : x["source_end"]])) >= 0.6 * (x["end"] - x["start"])
+    found = sum(len(by_doc[d] & got.get(d, set())) for d in by_doc)
+    assert wanted > 3000 and found >= 0.97 * wanted, (found, wanted)
+
+
 def test_shuffled_requests(spark, monkeypatch):
     import colloom.llm.common as common
 
