@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import struct
 import tempfile
@@ -184,6 +185,12 @@ def small_side(df: DataFrame, row_bytes: int | Column) -> DataFrame:
     return F.broadcast(df) if (total or 0) <= BROADCAST_BYTES else df
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished steps now, and not when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def even_keys(spark: SparkSession, parts: int) -> np.ndarray:
     """Integers of which repartition(parts, key) deals each to a partition of its own."""
     ids = spark.range(0, 40 * parts + 200, 1, 1).select(F.col("id").cast("int").alias("key"))

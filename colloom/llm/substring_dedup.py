@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_lower, frugal, hash_words, mix, rolling, small_batches, small_side, split_words, starts, stored
+from .common import WordHashes, ascii_lower, free_shuffles, frugal, hash_words, mix, rolling, small_batches, small_side, split_words, starts, stored
 
 K = 6
 WINDOW = 10
@@ -93,19 +93,19 @@ def seeds(docs: DataFrame) -> DataFrame:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """(h, doc, src, pos, spos): each seed of a document and its first place in an earlier document."""
+    """(h, doc, src, pos, spos): each seed that two documents have and its first place; doc is src in the first document itself."""
     first = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last"))
     first = first.filter("last != first.doc").select("h", F.col("first.doc").alias("src"), F.col("first.pos").alias("spos"))
     # Stored, so that the join has exchanges of its own, of which Spark can split a very common seed's.
     first = stored(first, "first-places")
-    return found.join(first, "h").filter("doc != src").select("h", "doc", "src", "pos", "spos")
+    return found.join(first, "h").select("h", "doc", "src", "pos", "spos")
 
 
 def uncovered(matched: DataFrame, passages: DataFrame) -> DataFrame:
     """(h, doc, pos): matched seeds that no passage of their document holds."""
-    spans = passages.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = stored(passages.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     held = F.exists("spans", lambda s: (s["start"] <= F.col("pos")) & (F.col("pos") + K <= s["end"]))
-    return matched.join(spans, "doc", "left").filter(~F.coalesce(held, F.lit(False))).select("h", "doc", "pos")
+    return matched.join(small_side(spans, 96 + 24 * F.size("spans")), "doc", "left").filter(~F.coalesce(held, F.lit(False))).select("h", "doc", "pos")
 
 
 def numbered(doc: np.ndarray, pos: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -120,14 +120,15 @@ def numbered(doc: np.ndarray, pos: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def seed_runs(found: DataFrame, left: DataFrame) -> DataFrame:
+def seed_runs(shared: DataFrame, left: DataFrame) -> DataFrame:
     """(h, doc, pos, last, asked) of runs of RUNS neighbouring seeds, of all documents that have seeds of left.
 
-    Only hashes that left has count, so an edit's own seeds do not part a run. h is the run's hash, pos
+    shared holds all places of seeds that two documents have. Only hashes that left has count, so an
+    edit's own seeds do not part a run. h is the run's hash, pos
     and last are its outer seeds' places; asked: one of its seeds is in left.
     """
     known = left.select("h").distinct()
-    places = found.join(small_side(stored(known, "open-seeds"), 16), "h", "left_semi").withColumn("asked", F.lit(0))
+    places = shared.select("doc", "pos", "h").join(small_side(stored(known, "open-seeds"), 16), "h", "left_semi").withColumn("asked", F.lit(0))
     rows = places.unionByName(left.withColumn("asked", F.lit(1))).select("doc", "pos", "h", "asked")
     dealt = rows.repartition("doc").sortWithinPartitions("doc", "pos")
 
@@ -168,9 +169,9 @@ def seed_runs(found: DataFrame, left: DataFrame) -> DataFrame:
     return dealt.mapInArrow(find, "h long, doc long, pos int, last int, asked boolean")
 
 
-def run_matches(found: DataFrame, left: DataFrame) -> DataFrame:
+def run_matches(shared: DataFrame, left: DataFrame) -> DataFrame:
     """(doc, src, pos, spos): outer seeds of runs that have a seed of left, and of the run's first place in an earlier document."""
-    runs = stored(seed_runs(found, left), "runs")
+    runs = stored(seed_runs(shared, left), "runs")
     first = runs.groupBy("h").agg(F.min(F.struct("doc", "pos", "last")).alias("first"), F.max("doc").alias("end")).filter("end != first.doc").select("h", "first")
     pairs = runs.filter("asked").join(stored(first, "first-runs"), "h").filter("doc != first.doc")
     ends = F.array(F.struct(F.col("pos").alias("pos"), F.col("first.pos").alias("spos")), F.struct(F.col("last").alias("pos"), F.col("first.last").alias("spos")))
@@ -420,13 +421,15 @@ def fuzzy_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float
     """
     small_batches(docs.sparkSession)
     rows = _one_row_each(docs)
-    found = stored(seeds(rows), "seeds")
-    matched = stored(matches(found), "matches")
+    shared = stored(matches(stored(seeds(rows), "seeds")), "matches")
+    free_shuffles(docs.sparkSession)
+    matched = shared.filter("doc != src")
     passages = stored(_aligned(rows, matched, min_words, identity), "passages")
     left = stored(uncovered(matched, passages), "uncovered")
     if left.isEmpty():
         return passages
-    return passages.union(_aligned(rows, run_matches(found, left), min_words, identity)).distinct()
+    free_shuffles(docs.sparkSession)
+    return passages.union(_aligned(rows, run_matches(shared, left), min_words, identity)).distinct()
 
 
 def _aligned(rows: DataFrame, matched: DataFrame, min_words: int, identity: float) -> DataFrame:
