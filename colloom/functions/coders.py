@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes on which coders are compared before the best few code all.
 SCREEN = 256 << 10
+#: Bytes up to which lzma's dearest preset is tried.
+EXTREME = 64 << 10
 
 
 def _raw(data: bytes) -> bytes:
@@ -95,7 +97,8 @@ def best(data: bytes, names: list[str] | None = None, screen: int = SCREEN, fina
     """(coder, coded) of the smallest; of equals the first. Never larger than the data.
 
     Long data are screened on their start, and only the best few and bz2, which gains most by length,
-    code all of them. Where lzma wins, its dearest preset is tried too; its payload reads the same.
+    code all of them. Where lzma wins on data of up to EXTREME bytes, its dearest preset is tried too; its
+    payload reads the same.
     """
     names = list(CODERS) if names is None else names
     if len(data) > screen:
@@ -103,7 +106,7 @@ def best(data: bytes, names: list[str] | None = None, screen: int = SCREEN, fina
         names = ["raw", *[n for n in ranked if n != "raw"][:finalists], *(["bz2"] if "bz2" in names else [])]
     coded = [(n, encode(n, data)) for n in dict.fromkeys(names)]
     found = min(coded, key=lambda c: len(c[1]))
-    return min([found, ("lzma", _lzma_extreme(data))], key=lambda c: len(c[1])) if found[0] == "lzma" else found
+    return min([found, ("lzma", _lzma_extreme(data))], key=lambda c: len(c[1])) if found[0] == "lzma" and len(data) <= EXTREME else found
 
 
 #: Qualities of the coders that have them.

@@ -313,9 +313,11 @@ def encode_columns(parsed: Parsed) -> list[tuple[list[dict], bytes]]:
 
     groups = [body(g) for g in vocabulary_groups(parsed.columns)]
     together = [body(list(range(parsed.width)))]
-    split = [body(g) for g in split_groups(parsed.width, related)] if parsed.width >= SPLIT_COLUMNS else together
+    tried = [groups, together] if len(groups) > 1 else [together]
+    if parsed.width >= SPLIT_COLUMNS:
+        tried.append([body(g) for g in split_groups(parsed.width, related)])
     size = lambda gs: sum(len(bz2.compress(b, 9)) for _, b in gs)
-    out = min([groups, together, split], key=size)
+    out = min(tried, key=size) if len(tried) > 1 else together
     out[0] = (out[0][0], parsed.separator + out[0][1])
     return out
 
