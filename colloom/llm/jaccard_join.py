@@ -8,7 +8,9 @@
 3. Prefix postings of one shingle, packed by block and part of the hash space, are joined in order
    of set size; sizes too far apart part the group (length filter). In groups of up to SMALL sets
    pairs are counted, and those that share e stay; larger groups become stars, which hold all their
-   pairs. The components of these edges hold every possible link.
+   pairs. A group that is large within its block becomes a star there, and only the few sets that
+   keep its range of sizes go on, so that what one shingle sends to a task grows with the blocks and
+   not with its sets. The components of these edges hold every possible link.
 4. A component's sets are dealt in blocks by size; each pair of blocks whose sizes can match is one
    task of bounded memory. It walks the sets by size with an inverted index of prefixes, applies the
    positional and suffix filters, verifies a pair once, and skips pairs that are already connected
@@ -195,36 +197,48 @@ def linked_pairs(sets: list[np.ndarray], order: Order, percent: int, left: int |
 
 
 def set_table(docs: DataFrame, frequent: list[int], k: int = SHINGLE, percent: int = PERCENT, parts: int = 8) -> DataFrame:
-    """A row for each document: doc_id, text_hash, n, node, sig; and for each block and part its prefix postings, packed.
+    """A row for each document: doc_id, text_hash, n, node, sig; for each block and part its prefix
+    postings, packed; and a row for each star edge (node, hub) of a block's large groups.
 
     node is 64 bits of sig. A block's equal sets have their postings once.
     """
     order, keys = docs.sparkSession.sparkContext.broadcast(Order(frequent)), even_keys(docs.sparkSession, parts)
-    names = ["doc_id", "text_hash", "n", "node", "sig", "part", "postings"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    few = SMALL
+    names = ["doc_id", "text_hash", "n", "node", "sig", "part", "postings", "hub"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
 
     @frugal
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, heads, nodes, sizes, seen, held = WordHashes(), [], [], [], set(), 0
 
-        def postings() -> pa.RecordBatch:
+        def postings() -> Iterator[pa.RecordBatch]:
             h = np.concatenate(heads)
+            node, n = np.array(nodes, dtype=np.uint64), np.array(sizes, dtype=np.uint32)
             at = np.repeat(np.arange(len(heads), dtype=np.uint32), [len(x) for x in heads])
+            by_size = np.lexsort((node, n))
+            rank = np.empty(len(n), dtype=np.uint32)
+            rank[by_size] = np.arange(len(n), dtype=np.uint32)
             part = keys[(h % np.uint64(parts)).astype(np.int64)]
-            by_part = np.lexsort((h, part))
-            h, at, part = h[by_part], at[by_part], part[by_part]
+            order = np.lexsort((rank[at], h, part))
+            h, at, part = h[order], at[order], part[order]
+            kept, hot, stars = _combined(h, n[at].astype(np.int64), at, percent, few)
+            h, at, part, hot = h[kept], at[kept], part[kept], hot[kept]
             cuts = np.append(starts(part), len(part))
-            node, n = np.array(nodes, dtype=np.uint64), np.array(sizes, dtype=np.uint32)
             rows = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 own, place = np.unique(at[a:b], return_inverse=True)
-                rows.append((None, None, None, None, None, int(part[a]), pack(node[own], n[own], h[a:b], place.astype(np.uint32))))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                packed = pack(node[own], n[own], h[a:b], place.astype(np.uint32), np.flatnonzero(hot[a:b]).astype(np.uint32))
+                rows.append((None, None, None, None, None, int(part[a]), packed, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            if len(stars):
+                ends = {"node": node[stars >> np.uint64(32)], "hub": node[stars & np.uint64(2**32 - 1)]}
+                cols = [pa.array(ends[c].view(np.int64)) if c in ends else pa.nulls(len(stars), t) for c, t in zip(names, types)]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
         for rows, sets in _sets(batches, known, k):
             sigs = [signature(s) for s in sets]
             ids = [int.from_bytes(x[:8], "little", signed=True) for x in sigs]
-            cols = [[r[0] for r in rows], [r[1] for r in rows], [len(s) for s in sets], ids, sigs, [None] * len(sets), [None] * len(sets)]
+            cols = [[r[0] for r in rows], [r[1] for r in rows], [len(s) for s in sets], ids, sigs, *[[None] * len(sets)] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
             for s, sig, node in zip(sets, sigs, ids):
                 if len(s) and sig not in seen:
@@ -234,31 +248,61 @@ def set_table(docs: DataFrame, frequent: list[int], k: int = SHINGLE, percent: i
                     sizes.append(len(s))
                     held += len(heads[-1])
             if held >= BLOCK_POSTINGS:
-                yield postings()
+                yield from postings()
                 heads, nodes, sizes, seen, held = [], [], [], set(), 0
         if heads:
-            yield postings()
+            yield from postings()
 
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(prefixes, "doc_id long, text_hash long, n long, node long, sig binary, part int, postings binary")
-
+    return rows.mapInArrow(prefixes, "doc_id long, text_hash long, n long, node long, sig binary, part int, postings binary, hub long")
 
-def _near(h: np.ndarray, n: np.ndarray, node: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs [a, b, shared] within small groups of one shingle, and star edges [a, hub] of large ones.
 
-    The rows are sorted by shingle, then size. Length filter: a group is cut where the next set is too
-    large for the last one, and a pair is left out where it is for the first.
-    """
+def _groups(h: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Where groups start in rows sorted by shingle, then size: at a new shingle, and (length filter)
+    where the next set is too large for the last one."""
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (n[:-1] * 100 < n[1:] * percent)
-    at = np.flatnonzero(new)
+    return np.flatnonzero(new)
+
+
+def _combined(h: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kept, hot, stars) of a block's postings [shingle, size, set number], sorted by shingle, then size.
+
+    Groups of more than `few` sets are stars here: distinct edges, set << 32 | hub. Of them only the
+    sets that `kept` marks go on: the first, the last, and between them the fewest that no length
+    filter parts, so that another block's set joins the group if and only if it would join all of it.
+    They are `hot`: wherever one is in a group, the group is large.
+    """
+    first = _groups(h, n, percent)
+    size = lengths(first, len(h))
+    kept, hot, stars = np.ones(len(h), dtype=bool), np.zeros(len(h), dtype=bool), []
+    for a, m in zip(first[size > few].tolist(), size[size > few].tolist()):
+        own, i, stay = n[a : a + m], 0, [0]
+        reach = np.searchsorted(own * percent, own * 100, side="right") - 1
+        while i < m - 1:
+            i = max(i + 1, int(reach[i]))
+            stay.append(i)
+        kept[a : a + m] = False
+        kept[a + np.array(stay)] = hot[a + np.array(stay)] = True
+        stars.append(at[a + 1 : a + m].astype(np.uint64) << np.uint64(32) | np.uint64(at[a]))
+    return kept, hot, np.unique(np.concatenate(stars)) if stars else np.zeros(0, np.uint64)
+
+
+def _near(h: np.ndarray, n: np.ndarray, node: np.ndarray, hot: np.ndarray, percent: int, few: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs [a, b, shared] within groups of up to `few` sets of one shingle, and star edges [a, hub] of larger ones.
+
+    The rows are sorted by shingle, then size. A pair is left out where the larger set is too large for
+    the smaller one. A group with a hot set is large.
+    """
+    at = _groups(h, n, percent)
     size = lengths(at, len(h))
-    start, size = np.repeat(at, size), np.repeat(size, size)
-    large = (size > SMALL) & ~new
+    start, is_large = np.repeat(at, size), np.repeat((size > few) | np.logical_or.reduceat(hot, at), size)
+    size = np.where(is_large, few + 1, np.repeat(size, size))
+    large = is_large & (start != np.arange(len(h)))
     stars = np.stack([node[large], node[start[large]]], axis=1)
     place, pairs = np.arange(len(h)) - start, []
-    small = np.flatnonzero((size <= SMALL) & (size > 1))
-    for d in range(1, SMALL):
+    small = np.flatnonzero((size <= few) & (size > 1))
+    for d in range(1, few):
         small = small[place[small] + d < size[small]]
         if not len(small):
             break
@@ -275,8 +319,10 @@ def candidate_components(table: DataFrame, reps: DataFrame, percent: int = PERCE
     """(node, component) of sets that may be linked.
 
     Pairs within groups of up to SMALL sets are counted over all shingles, and only pairs that share
-    `extra` of their prefixes stay; larger groups are stars, which join a superset of their pairs.
+    `extra` of their prefixes stay; larger groups are stars, which join a superset of their pairs. The
+    stars of large groups within a block are in the table.
     """
+    few = SMALL
 
     @frugal
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,18 +334,20 @@ def candidate_components(table: DataFrame, reps: DataFrame, percent: int = PERCE
             node = np.concatenate([x[0][x[3]] for x in got])
             n = np.concatenate([x[1][x[3]] for x in got]).astype(np.int64)
             h = np.concatenate([x[2] for x in got])
+            cold = np.ones(len(h), dtype=bool)
+            cold[np.concatenate([x[4] + b for x, b in zip(got, np.cumsum([0, *(len(x[2]) for x in got)]))])] = False
             got.clear()
-            order = np.lexsort((node, n, h))
-            node, n, h = node[order], n[order], h[order]
+            order = np.lexsort((cold, node, n, h))
+            node, n, h, hot = node[order], n[order], h[order], ~cold[order]
             kept = np.ones(len(h), dtype=bool)
-            kept[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])  # equal sets of several blocks
-            node, n, h = node[kept], n[kept], h[kept]
+            kept[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])  # equal sets of several blocks, a hot one first
+            node, n, h, hot = node[kept], n[kept], h[kept], hot[kept]
             a = 0
             while a < len(h):
                 b = min(len(h), a + PAIRED_POSTINGS)
                 while b < len(h) and h[b] == h[b - 1]:
                     b += 1
-                pairs, stars = _near(h[a:b], n[a:b], node[a:b], percent)
+                pairs, stars = _near(h[a:b], n[a:b], node[a:b], hot[a:b], percent, few)
                 stars = np.unique(stars, axis=0)
                 e = np.concatenate([pairs, np.column_stack([stars, np.zeros(len(stars), np.uint64)])])
                 if len(e):
@@ -321,7 +369,8 @@ def candidate_components(table: DataFrame, reps: DataFrame, percent: int = PERCE
     x, y = sizes.toDF("a", "n_a"), sizes.toDF("b", "n_b")
     strong = F.expr("least = 0") | (F.col("shared") > F.floor(F.least("n_a", "n_b") / 20))
     edges = stored(pairs, "pairs").join(x, "a").join(y, "b").filter(strong).select("a", "b")
-    return connected_components(edges)
+    stars = table.filter("hub is not null").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return connected_components(edges.union(stars))
 
 
 def _tasks(wanted: DataFrame, percent: int) -> DataFrame:
@@ -408,7 +457,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     parts = max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     frequent = frequent_shingles(docs, k)
     table = stored(set_table(docs, frequent, k, percent, parts), "sets")
-    rows = table.filter("part is null").select("doc_id", "text_hash", "n", "node", "sig")
+    rows = table.filter("part is null and hub is null").select("doc_id", "text_hash", "n", "node", "sig")
     reps = stored(rows.filter("n > 0").groupBy("sig", "node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")), "nodes")
     # Candidates go by 64 bits of sig: a clash may join two components of candidates, never two sets.
     wanted = reps.join(candidate_components(table, reps, percent, parts), "node").select("doc", "sig", "component", "n")

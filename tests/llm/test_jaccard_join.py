@@ -117,6 +117,55 @@ def test_stars_of_large_groups(spark, monkeypatch, small):
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("blocks", [2, 6])
+def test_stars_within_blocks(spark, monkeypatch, blocks):
+    # One group of distinct near copies in many blocks, of many sizes, some blocks with few of them.
+    monkeypatch.setattr(J, "SMALL", 3)
+    monkeypatch.setattr(J, "BLOCK_POSTINGS", 40)
+    r = random.Random(3)
+    base = [f"c{i}" for i in range(90)]
+    texts = [" ".join(base[: r.randint(30, 90)] + [f"y{d}"]) for d in range(60)]
+    rows = [(d, t) for d, t in enumerate(texts + [t for _, t in corpus(8, 60, 6)] + texts[:5])]
+    df = spark.createDataFrame([(d, t, "en", "s", None) for d, t in rows], SCHEMA).repartition(blocks)
+    got = sorted((tuple(x) for x in J.jaccard_components(df).collect()), key=str)
+    assert got == brute(rows)
+    table = J.set_table(df, [], parts=4).cache()
+    assert table.filter("hub is not null").count() > 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(1, 60), st.integers(0, 3)), min_size=1, max_size=60, unique_by=lambda x: (x[0], x[1], x[2])))
+def test_combined_blocks_join_the_same(cells):
+    """Postings (shingle, size, block) of distinct sets: the same components, with and without stars in the blocks."""
+    rows = sorted((h, n, i, block) for i, (h, n, block) in enumerate(cells))
+
+    def components(pairs, stars):
+        p = list(range(len(cells)))
+        for _ in p:
+            for a, b in [*pairs, *stars]:
+                p[a] = p[b] = min(p[a], p[b])
+        return p
+
+    def near(part, hot):
+        h, n, at = (np.array([x[i] for x in part], dtype=np.uint64) for i in range(3))
+        pairs, stars = J._near(h, n.astype(np.int64), at, np.array(hot, dtype=bool), 80, 3)
+        return [tuple(map(int, x[:2])) for x in pairs], [tuple(map(int, x)) for x in stars]
+
+    pairs, stars = near(rows, [False] * len(rows))
+    left, own = [], []
+    for block in range(4):
+        part = [x for x in rows if x[3] == block]
+        if part:
+            h, n, at = (np.array([x[i] for x in part]) for i in range(3))
+            kept, hot, edges = J._combined(h.astype(np.uint64), n, at.astype(np.uint32), 80, 3)
+            own += [(int(e) >> 32, int(e) & (2**32 - 1)) for e in edges]
+            left += [(x, y) for x, y, z in zip(part, hot, kept) if z]
+    left.sort()
+    pairs2, stars2 = near([x for x, _ in left], [y for _, y in left])
+    assert sorted(map(sorted, pairs)) == sorted(map(sorted, pairs2))
+    assert components([], stars) == components([], stars2 + own)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=30), min_size=2, max_size=14), st.booleans())
 def test_forest_connects_what_links_connect(sets, placed):
