@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows and bytes that go to a Python worker at once; Spark's own defaults let a batch of texts take 64 MB on both sides.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
