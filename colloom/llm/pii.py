@@ -1,14 +1,16 @@
 r"""Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 The four base kinds (email, ip, card, phone) are kept whenever their pattern and check hold. Further
-spans (iban by mod-97; cards of 13 to 15 digits by Luhn) need a score of THRESHOLD, which words nearby
-raise or lower. The patterns are written so that each character is looked at a bounded number of
+spans (iban by mod-97; cards of 13 to 15 digits by Luhn; secrets, which are values given to a name such
+as token, by their entropy) need a score of THRESHOLD, which words nearby raise or lower. The patterns are written so that each character is looked at a bounded number of
 times, also in one very long run of digits or letters.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -19,9 +21,11 @@ from pyspark.sql import functions as F
 from .common import frugal, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-EXTRA = ("card_short", "iban")
+EXTRA = ("card_short", "iban", "secret")
 THRESHOLD = 0.6
 CONTEXT = 40
+#: Bits a character that a secret's value must have; hexadecimal digits at random have nearly 4.
+ENTROPY = 3.0
 
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -30,8 +34,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# A value of 16 to 256 characters, and what must stand before it: a name that speaks of a secret, then = or :.
+_VALUE = re.compile(r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/.-]{16,256}+(?![A-Za-z0-9_+/.-])={0,2}")
+_GIVEN = re.compile(
+    r"(?:token|secret|passwo?r?d|pwd|credential|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth)[a-z0-9_-]{0,20}[\"']?\s{0,4}(?::=|=>|=|:)\s{0,4}[\"']?(?:bearer\s)?\Z",
+    re.IGNORECASE,
+)
+_BEFORE = 64
 # What a score starts from, and words that speak for a kind or against any.
-_START = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "card_short": 0.5}
+_START = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "card_short": 0.5, "secret": 0.7}
 _FOR = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "host", "server", "address"),
@@ -39,8 +50,10 @@ _FOR = {
     "card_short": ("card", "amex", "american express", "diners", "credit", "payment"),
     "phone": ("phone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "transfer"),
+    "secret": ("key", "token", "password", "credential"),
 }
 _AGAINST = ("example", "version", "test", "isbn", "order number", "tracking")
+_AGAINST_WORDS = re.compile(rf"(?<![a-z])(?:{'|'.join(_AGAINST)})(?![a-z])")
 
 
 def luhn(digits: str) -> bool:
@@ -83,12 +96,28 @@ def _ip_ok(s: str) -> bool:
     return all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in s.split("."))
 
 
+def entropy(value: str) -> float:
+    """Bits a character."""
+    counts = Counter(value).values()
+    return math.log2(len(value)) - sum(n * math.log2(n) for n in counts) / len(value)
+
+
+def secrets(text: str) -> list[tuple[int, int]]:
+    """Values with a letter, a digit and ENTROPY that are given to a name for secrets, as in token = "…"."""
+    out = []
+    for m in _VALUE.finditer(text):
+        a, value = m.start(), m[0]
+        if re.search("[0-9]", value) and re.search("[A-Za-z]", value) and _GIVEN.search(text[max(0, a - _BEFORE) : a]) and entropy(value) >= ENTROPY:
+            out.append((a, m.end()))
+    return out
+
+
 def _context_score(kind: str, text: str, a: int, b: int) -> float:
     near = text[max(0, a - CONTEXT) : a].lower() + " " + text[b : b + CONTEXT].lower()
     score = _START[kind]
     if any(w in near for w in _FOR[kind]):
         score += 0.2
-    if any(w in near for w in _AGAINST):
+    if _AGAINST_WORDS.search(near):
         score -= 0.2
     return round(min(1.0, max(0.0, score)), 2)
 
@@ -109,6 +138,7 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
         spans += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 8 <= len(_digits(m[0])) <= 15]
     out = [(*s, _context_score(s[0], text, s[1], s[2])) for s in spans]
     more = short + [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if 15 <= len(c := m[0].replace(" ", "")) <= 34 and mod97(c)]
+    more += [("secret", a, b) for a, b in secrets(text)]
     for s in more:
         if (score := _context_score(s[0], text, s[1], s[2])) >= THRESHOLD:
             out.append((*s, score))
@@ -152,17 +182,17 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """The counts and digests of every document's spans.
+    """The counts and digests of every document's spans; n_spans counts all kinds.
 
     Null and empty texts have none; repeated rows give repeated results; an empty table, none.
     """
     small_batches(docs.sparkSession)
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"]
 
     @frugal
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for text in batch.column(1).to_pylist():
                 found = find(text)
                 said = [f"{k}:{a}:{b}" for k, a, b, _ in found]
@@ -171,11 +201,12 @@ def pii_report(docs: DataFrame) -> DataFrame:
                     col.append(sum(k == kind for k, *_ in found))
                 cols[4].append(sha256(",".join(said[:base]).encode()).hexdigest())
                 cols[5].append(",".join(said))
-            types = [pa.int64()] * 4 + [pa.string()] * 2
+                cols[6].append(len(said))
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(digest, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return rows.mapInArrow(digest, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_spans long")
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import re
 from hashlib import sha256
 
@@ -121,8 +122,23 @@ def test_extra_spans_and_scores():
     assert near > 0.7 > far
 
 
+def test_secrets():
+    found = lambda t: [t[a:b] for a, b in pii.secrets(t)]
+    hexa, mixed = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "Zx9/kQ+17bVv_aa-3Rt0=="
+    assert found(f'token = "{hexa}" and') == [hexa] and found(f"TOKEN={hexa.upper()}") == [hexa.upper()]
+    assert found(f"api_key_prod: '{mixed}'") == [mixed] and found(f"Authorization: Bearer {mixed}") == [mixed]
+    # No name, no sign between, too short, no digit, one character again and again, and a commit's number
+    for text in (hexa, f"token {hexa}", "token = 04dbebab91", "token = internationalisation", "token = " + "a1" * 20, f"commit: {hexa}", f"token =\n\n\n\n\n{hexa}"):
+        assert found(text) == [], text
+    assert [s[0] for s in pii.find(f"token = {hexa}")] == ["secret"]
+    assert pii.find(f"a test: token = {hexa}")[0][3] < pii.find(f"the latest: token = {hexa}")[0][3]
+    assert pii.redact(f'token = "{hexa}"!') == 'token = "<SECRET>"!'
+    values = [hexa, mixed.rstrip("="), "a1" * 8]
+    assert [round(pii.entropy(v), 9) for v in values] == [round(-sum(v.count(c) / len(v) * math.log2(v.count(c) / len(v)) for c in set(v)), 9) for v in values]
+
+
 def test_long_runs_are_quick():
-    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "@" * 100_000, "a@" * 100_000, "+1" * 100_000, "1 " * 150_000, "A1" * 150_000):
+    for text in ("token=" * 50_000, "token=" + "a1" * 150_000, "a1" * 8 + " " + "x=" * 100_000, "a1b2c3d4e5f6g7h8 " * 20_000, "a" * 300_000, "1" * 300_000, "1." * 150_000, "@" * 100_000, "a@" * 100_000, "+1" * 100_000, "1 " * 150_000, "A1" * 150_000):
         pii.find(text)
 
 
@@ -134,6 +150,7 @@ def test_pii_report_and_redaction(spark):
         said = [f"{k}:{a}:{b}" for k, a, b in base_spans(text)]
         r = got[key, sha256(",".join(said).encode()).hexdigest()]
         assert r["spans"].split(",")[: len(said)] == (said or [""])[: len(said)]
+        assert r["n_spans"] == len(pii.find(text))
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s.startswith(k + ":") for s in said) for k in pii.KINDS]
     out = {r["doc_id"]: r["text"] for r in pii.redact_pii(df.filter("doc_id is not null and spans = 'kind'")).collect()}
     assert out[2] == "<CARD> and 4111111111111112" and out[len(PII)] is None
