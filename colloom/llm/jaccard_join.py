@@ -7,10 +7,13 @@
    n - ceil(t n) + e. Equal sets are one node from here on, whatever their number.
 3. Prefix postings of one shingle, packed by block and part of the hash space, are joined in order
    of set size; sizes too far apart part the group (length filter). In groups of up to SMALL sets
-   pairs are counted, and those that share e stay; larger groups become stars, which hold all their
-   pairs. A group that is large within its block becomes a star there, and only the few sets that
-   keep its range of sizes go on, so that what one shingle sends to a task grows with the blocks and
-   not with its sets. The components of these edges hold every possible link.
+   pairs are counted; larger groups are hot, and each set counts its hot shingles. A set with fewer
+   than `tolerated` of them shares the rest of the e others with any set that it is linked with, so
+   pairs stay that share `enough` without hot ones. Only sets with more hot shingles join the stars of
+   their hot groups: in a large corpus many shingles are hot by chance, and all sets in stars would be
+   one component. A group that is large within its block becomes a star there, and only the few sets
+   that keep its range of sizes go on, so that what one shingle sends to a task grows with the blocks
+   and not with its sets. The components of these edges hold every possible link.
 4. A component's sets are dealt in blocks by size; each pair of blocks whose sizes can match is one
    task of bounded memory. It walks the sets by size with an inverted index of prefixes, applies the
    positional and suffix filters, verifies a pair once, and skips pairs that are already connected
@@ -80,6 +83,17 @@ def extra(n):
     return 1 + n // 20
 
 
+def tolerated(n):
+    """Hot shingles in a set's prefix from which on it joins the stars of its hot groups."""
+    return 1 + n // 30
+
+
+def enough(small, large):
+    """Shingles that are not hot and that a linked pair shares in its prefixes, if not both sets join
+    stars or none of the shared ones is hot: the other set has at most tolerated - 1 hot ones."""
+    return np.maximum(1, extra(small) - (tolerated(large) - 1))
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Of sets that share `needed`, the first n - needed + extra shingles share `extra`."""
     return min(n, n - needed(n, percent) + extra(n))
@@ -198,14 +212,15 @@ def linked_pairs(sets: list[np.ndarray], order: Order, percent: int, left: int |
 
 def set_table(docs: DataFrame, frequent: list[int], k: int = SHINGLE, percent: int = PERCENT, parts: int = 8) -> DataFrame:
     """A row for each document: doc_id, text_hash, n, node, sig; for each block and part its prefix
-    postings, packed; and a row for each star edge (node, hub) of a block's large groups.
+    postings, packed; and a row for each star edge (node, hub) of a block's large groups, with the
+    node's size and the number of groups.
 
     node is 64 bits of sig. A block's equal sets have their postings once.
     """
     order, keys = docs.sparkSession.sparkContext.broadcast(Order(frequent)), even_keys(docs.sparkSession, parts)
     few = SMALL
-    names = ["doc_id", "text_hash", "n", "node", "sig", "part", "postings", "hub"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+    names = ["doc_id", "text_hash", "n", "node", "sig", "part", "postings", "hub", "shared"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
 
     @frugal
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,23 +237,25 @@ def set_table(docs: DataFrame, frequent: list[int], k: int = SHINGLE, percent: i
             order = np.lexsort((rank[at], h, part))
             h, at, part = h[order], at[order], part[order]
             kept, hot, stars = _combined(h, n[at].astype(np.int64), at, percent, few)
+            stars, shared = np.unique(stars, return_counts=True)
             h, at, part, hot = h[kept], at[kept], part[kept], hot[kept]
             cuts = np.append(starts(part), len(part))
             rows = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 own, place = np.unique(at[a:b], return_inverse=True)
                 packed = pack(node[own], n[own], h[a:b], place.astype(np.uint32), np.flatnonzero(hot[a:b]).astype(np.uint32))
-                rows.append((None, None, None, None, None, int(part[a]), packed, None))
+                rows.append((None, None, None, None, None, int(part[a]), packed, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
             if len(stars):
-                ends = {"node": node[stars >> np.uint64(32)], "hub": node[stars & np.uint64(2**32 - 1)]}
-                cols = [pa.array(ends[c].view(np.int64)) if c in ends else pa.nulls(len(stars), t) for c, t in zip(names, types)]
+                own = stars >> np.uint64(32)
+                cells = {"node": node[own].view(np.int64), "hub": node[stars & np.uint64(2**32 - 1)].view(np.int64), "n": n[own].astype(np.int64), "shared": shared}
+                cols = [pa.array(cells[c], t) if c in cells else pa.nulls(len(stars), t) for c, t in zip(names, types)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
         for rows, sets in _sets(batches, known, k):
             sigs = [signature(s) for s in sets]
             ids = [int.from_bytes(x[:8], "little", signed=True) for x in sigs]
-            cols = [[r[0] for r in rows], [r[1] for r in rows], [len(s) for s in sets], ids, sigs, *[[None] * len(sets)] * 3]
+            cols = [[r[0] for r in rows], [r[1] for r in rows], [len(s) for s in sets], ids, sigs, *[[None] * len(sets)] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
             for s, sig, node in zip(sets, sigs, ids):
                 if len(s) and sig not in seen:
@@ -254,7 +271,7 @@ def set_table(docs: DataFrame, frequent: list[int], k: int = SHINGLE, percent: i
             yield from postings()
 
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(prefixes, "doc_id long, text_hash long, n long, node long, sig binary, part int, postings binary, hub long")
+    return rows.mapInArrow(prefixes, "doc_id long, text_hash long, n long, node long, sig binary, part int, postings binary, hub long, shared long")
 
 
 def _groups(h: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
@@ -268,7 +285,7 @@ def _groups(h: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
 def _combined(h: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(kept, hot, stars) of a block's postings [shingle, size, set number], sorted by shingle, then size.
 
-    Groups of more than `few` sets are stars here: distinct edges, set << 32 | hub. Of them only the
+    Groups of more than `few` sets are stars here: edges, set << 32 | hub, once a group. Of them only the
     sets that `kept` marks go on: the first, the last, and between them the fewest that no length
     filter parts, so that another block's set joins the group if and only if it would join all of it.
     They are `hot`: wherever one is in a group, the group is large.
@@ -285,42 +302,60 @@ def _combined(h: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int, few: i
         kept[a : a + m] = False
         kept[a + np.array(stay)] = hot[a + np.array(stay)] = True
         stars.append(at[a + 1 : a + m].astype(np.uint64) << np.uint64(32) | np.uint64(at[a]))
-    return kept, hot, np.unique(np.concatenate(stars)) if stars else np.zeros(0, np.uint64)
+    return kept, hot, np.concatenate(stars) if stars else np.zeros(0, np.uint64)
+
+
+def _large(h: np.ndarray, n: np.ndarray, hot: np.ndarray, percent: int, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, size, in_large) of rows sorted by shingle, then size: the place in the group, the group's size, whether it is large."""
+    at = _groups(h, n, percent)
+    size = lengths(at, len(h))
+    return np.arange(len(h)) - np.repeat(at, size), np.repeat(size, size), np.repeat((size > few) | np.logical_or.reduceat(hot, at), size)
 
 
 def _near(h: np.ndarray, n: np.ndarray, node: np.ndarray, hot: np.ndarray, percent: int, few: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs [a, b, shared] within groups of up to `few` sets of one shingle, and star edges [a, hub] of larger ones.
+    """Pairs [a, b, shared, need] within groups of up to `few` sets of one shingle, and star edges [a, hub]
+    of larger ones, once for each set of a group, the hub too.
 
     The rows are sorted by shingle, then size. A pair is left out where the larger set is too large for
     the smaller one. A group with a hot set is large.
     """
-    at = _groups(h, n, percent)
-    size = lengths(at, len(h))
-    start, is_large = np.repeat(at, size), np.repeat((size > few) | np.logical_or.reduceat(hot, at), size)
-    size = np.where(is_large, few + 1, np.repeat(size, size))
-    large = is_large & (start != np.arange(len(h)))
-    stars = np.stack([node[large], node[start[large]]], axis=1)
-    place, pairs = np.arange(len(h)) - start, []
-    small = np.flatnonzero((size <= few) & (size > 1))
+    place, size, is_large = _large(h, n, hot, percent, few)
+    large = np.flatnonzero(is_large)
+    stars = np.stack([node[large], node[large - place[large]]], axis=1)
+    pairs, small = [np.zeros((0, 3), np.uint64)], np.flatnonzero(~is_large & (size > 1))
     for d in range(1, few):
         small = small[place[small] + d < size[small]]
         if not len(small):
             break
         fits = small[n[small] * 100 >= n[small + d] * percent]
-        pairs.append(np.stack([node[fits], node[fits + d]], axis=1))
-    both = np.sort(np.concatenate(pairs), axis=1) if pairs else np.zeros((0, 2), np.uint64)
-    order = np.lexsort((both[:, 1], both[:, 0]))
-    both = both[order]
+        x, y = node[fits], node[fits + d]
+        pairs.append(np.column_stack([np.minimum(x, y), np.maximum(x, y), enough(n[fits], n[fits + d]).astype(np.uint64)]))
+    both = np.concatenate(pairs)
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
     at = starts(both[:, 0], both[:, 1])
-    return np.column_stack([both[at], lengths(at, len(both)).astype(np.uint64)]), stars
+    return np.column_stack([both[at, :2], lengths(at, len(both)).astype(np.uint64), both[at, 2]]), stars
+
+
+def _hot_edges(stars: np.ndarray, n: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Distinct [a, hub, shared, need] of star edges: how many hot shingles of a they stand for, and -tolerated(a).
+
+    n, hot: of each a. A set that was hot within its block stands for others there, so it always joins.
+    """
+    least = tolerated(n).astype(np.int64)
+    order = np.lexsort((stars[:, 1], stars[:, 0]))
+    stars, least, weight = stars[order], least[order], np.where(hot, least, 1)[order]
+    at = starts(stars[:, 0], stars[:, 1])
+    shared = np.add.reduceat(weight, at) if len(at) else weight
+    return np.column_stack([stars[at].view(np.int64), shared, -least[at]])
 
 
-def candidate_components(table: DataFrame, reps: DataFrame, percent: int = PERCENT, parts: int = 8) -> DataFrame:
+def candidate_components(table: DataFrame, percent: int = PERCENT, parts: int = 8) -> DataFrame:
     """(node, component) of sets that may be linked.
 
     Pairs within groups of up to SMALL sets are counted over all shingles, and only pairs that share
-    `extra` of their prefixes stay; larger groups are stars, which join a superset of their pairs. The
-    stars of large groups within a block are in the table.
+    `enough` of their prefixes stay. Of larger groups' stars the edges of sets with `tolerated` hot
+    shingles or more stay, which join a superset of the other links. The stars of large groups within
+    a block are in the table; a shingle counted in several blocks only makes a set join sooner.
     """
     few = SMALL
 
@@ -348,10 +383,10 @@ def candidate_components(table: DataFrame, reps: DataFrame, percent: int = PERCE
                 while b < len(h) and h[b] == h[b - 1]:
                     b += 1
                 pairs, stars = _near(h[a:b], n[a:b], node[a:b], hot[a:b], percent, few)
-                stars = np.unique(stars, axis=0)
-                e = np.concatenate([pairs, np.column_stack([stars, np.zeros(len(stars), np.uint64)])])
+                large = a + np.flatnonzero(_large(h[a:b], n[a:b], hot[a:b], percent, few)[2])
+                e = np.concatenate([pairs.view(np.int64), _hot_edges(stars, n[large], hot[large])])
                 if len(e):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, i]).view(np.int64)) for i in range(3)], names=["a", "b", "shared"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, i])) for i in range(4)], names=["a", "b", "shared", "need"])
                 a = b
 
         for batch in batches:
@@ -363,14 +398,13 @@ def candidate_components(table: DataFrame, reps: DataFrame, percent: int = PERCE
         yield from close()
 
     blocks = table.filter("part is not null").select("part", "postings")
-    found = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(near, "a long, b long, shared long")
-    pairs = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("shared").alias("least"))
-    sizes = reps.groupBy("node").agg(F.min("n").alias("n"))
-    x, y = sizes.toDF("a", "n_a"), sizes.toDF("b", "n_b")
-    strong = F.expr("least = 0") | (F.col("shared") > F.floor(F.least("n_a", "n_b") / 20))
-    edges = stored(pairs, "pairs").join(x, "a").join(y, "b").filter(strong).select("a", "b")
-    stars = table.filter("hub is not null").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    return connected_components(edges.union(stars))
+    found = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(near, "a long, b long, shared long, need long")
+    counted = stored(found.groupBy("a", "b", "need").agg(F.sum("shared").alias("shared")).filter("need < 0 or shared >= need"), "pairs")
+    in_blocks = table.filter("hub is not null").select(F.col("node").alias("a"), F.col("hub").alias("b"), (-(F.floor(F.col("n") / 30) + 1)).alias("need"), "shared")
+    stars = counted.filter("need < 0").select("a", "b", "need", "shared").union(in_blocks)
+    joining = stars.groupBy("a").agg(F.sum("shared").alias("hot"), F.min("need").alias("need")).filter("hot >= -need").select("a")
+    edges = counted.filter("need > 0").select("a", "b").union(stars.filter("a != b").join(joining, "a", "left_semi").select("a", "b"))
+    return connected_components(edges)
 
 
 def _tasks(wanted: DataFrame, percent: int) -> DataFrame:
@@ -460,7 +494,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows = table.filter("part is null and hub is null").select("doc_id", "text_hash", "n", "node", "sig")
     reps = stored(rows.filter("n > 0").groupBy("sig", "node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")), "nodes")
     # Candidates go by 64 bits of sig: a clash may join two components of candidates, never two sets.
-    wanted = reps.join(candidate_components(table, reps, percent, parts), "node").select("doc", "sig", "component", "n")
+    wanted = reps.join(candidate_components(table, percent, parts), "node").select("doc", "sig", "component", "n")
     linked = connected_components(_verified_edges(docs, wanted, frequent, k, percent))
     named = reps.select("sig", "doc").join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     lowest = named.groupBy("component").agg(F.min("doc").alias("component_id"))

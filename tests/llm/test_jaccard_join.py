@@ -190,3 +190,34 @@ def test_forest_connects_what_links_connect(sets, placed):
 @pytest.mark.parametrize("n,percent,share", [(5, 80, 4), (10, 80, 8), (1, 80, 1), (7, 80, 6)])
 def test_needed(n, percent, share):
     assert J.needed(n, percent) == share
+
+
+def test_hot_shingles_alone_join_nothing(spark, monkeypatch):
+    """Texts without near copies that share shingles by chance, all of them hot: no giant component of candidates."""
+    monkeypatch.setattr(J, "SMALL", 3)
+    r = random.Random(11)
+    phrases = [" ".join(f"p{i}.{j}" for j in range(5)) for i in range(12)]
+    texts = []
+    for d in range(120):
+        words = [f"d{d}.{i}" for i in range(200)]
+        for i, p in enumerate(r.sample(phrases, 3)):
+            words.insert(60 * i, p)
+        texts.append(" ".join(words))
+    texts += [texts[7] + " more", "few " + texts[7]]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(d, t, "en", "s", None) for d, t in rows], SCHEMA).repartition(48)
+    table = J.set_table(df, [], parts=4).cache()
+    found = J.candidate_components(table, parts=4).collect()
+    largest = max(sum(x["component"] == c for x in found) for c in {x["component"] for x in found})
+    assert largest <= 3
+    assert run(spark, rows) == brute(rows)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 400), st.data())
+def test_enough_without_hot_shingles(n, data):
+    """A linked pair of which one set is under its bound of hot shingles shares `enough` others."""
+    m = data.draw(st.integers(n, n * 100 // 80))
+    for k in (J.tolerated(n) - 1, J.tolerated(m) - 1):
+        assert J.enough(n, m) <= max(1, J.extra(n) - k)
+    assert J.extra(n) - (J.tolerated(m) - 1) >= 1
