@@ -363,3 +363,12 @@ def test_split_groups_keep_related_columns():
     assert K.split_groups(8, []) == [[0, 4], [1, 5], [2, 6], [3, 7]]
     out = K.split_groups(9, [(0, 8), (8, 3)])
     assert sorted(c for g in out for c in g) == list(range(9)) and any({0, 3, 8} <= set(g) for g in out)
+
+
+def test_best_line_rounds_halves_away_from_zero(spark):
+    """A slope of exactly minus one half is minus one, as in SQL, in any order of rows; nulls take no part."""
+    rows = [(x, 1_000_000 - x // 2) for x in range(-100, 101, 2)] + [(None, 7)]
+    df = spark.createDataFrame(rows, "x long, y long").repartition(7)
+    got = {(r["y"], r["x"]): (r["a"], r["b"]) for r in R.best_line(df, ["y", "x"]).collect()}
+    assert got[("y", "x")] == (-1, 1_000_000)
+    assert [R.half_away(n, 2) for n in (-3, -2, -1, 0, 1, 3)] == [-2, -1, -1, 0, 1, 2]
