@@ -372,3 +372,21 @@ def test_best_line_rounds_halves_away_from_zero(spark):
     got = {(r["y"], r["x"]): (r["a"], r["b"]) for r in R.best_line(df, ["y", "x"]).collect()}
     assert got[("y", "x")] == (-1, 1_000_000)
     assert [R.half_away(n, 2) for n in (-3, -2, -1, 0, 1, 3)] == [-2, -1, -1, 0, 1, 2]
+
+
+def test_lines_and_files_go_by_chunks(spark, monkeypatch):
+    """Files are cut in chunks and joined line by line: no array holds all lines of a file."""
+    monkeypatch.setattr(L, "_CHUNK", 7)
+    contents = [b"", b"\n", b"\n\n", b"a", b"a,b\nc,d\n", b"\r\n,\n\xe9,long line over chunks\n\nend", b"x" * 30 + b"\n" + b"y" * 7]
+    files = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(contents)], "file_ordinal int, content binary")
+    rows = L.lines(files)
+    got = {i: [] for i in range(len(contents))}
+    for r in rows.orderBy("file_ordinal", "line_no").collect():
+        assert r["line_no"] == len(got[r["file_ordinal"]]) and r["trailing"] == contents[r["file_ordinal"]].endswith(b"\n")
+        got[r["file_ordinal"]].append(r["line"].encode("latin-1"))
+    for i, c in enumerate(contents):
+        assert got[i] == ((c[:-1] if c.endswith(b"\n") else c).split(b"\n") if c else [])
+    bodies = {r["file_ordinal"]: bytes(r["body"]) for r in L.joined(rows, "line_no").collect()}
+    assert bodies == {i: c[:-1] if c.endswith(b"\n") else c for i, c in enumerate(contents) if c}
+    for plan in (rows, L.joined(rows, "line_no")):
+        assert "collect_list" not in plan._jdf.queryExecution().toString() and "posexplode" not in plan._jdf.queryExecution().toString()
