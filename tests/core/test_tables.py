@@ -167,6 +167,15 @@ def test_batches(spark):
     assert got == [0, 0, 1, 2, 2, 2, 3, 3]
 
 
+def test_batches_of_pieces(spark):
+    """A file that fits a batch is in one; a larger one starts its own and goes on in others."""
+    cut = [(0, 4), (0, 2), (1, 3), (1, 3), (2, 6), (2, 6), (2, 6), (3, 1), (4, 1), (5, 1)]
+    rows = [(f, i, sum(n for g, n in cut[:i] if g == f), n, sum(m for g, m in cut if g == f)) for i, (f, n) in enumerate(cut)]
+    df = spark.createDataFrame(rows, "file_ordinal long, piece long, start long, n_bytes long, file_bytes long").repartition(3)
+    got = [r["batch_id"] for r in L.batches(df, 3, 10).orderBy("file_ordinal", "piece").collect()]
+    assert got == [0, 0, 1, 1, 2, 3, 4, 4, 4, 5]
+
+
 # --- archives ---------------------------------------------------------------------------------
 
 
@@ -208,6 +217,68 @@ def test_archive_round_trip(spark, tmp_path, name):
         assert routes == {"raw"}
 
 
+@pytest.mark.parametrize("name", ["aligned", "ragged", "tabs", "preludes", "others", "binary"])
+def test_archive_cuts_large_files(spark, tmp_path, name):
+    import hashlib
+    import zlib
+
+    contents = [*CORPORA[name], b"no newline " * 500, b""]
+    path = f"file://{tmp_path}/a"
+    A.pack_files(files(spark, contents), path, max_files=3, max_bytes=5000, block_bytes=1500)
+    stored = spark.read.parquet(f"{path}/manifest")
+    assert stored.agg(F.max("n_bytes")).first()[0] <= 1500
+    assert stored.groupBy("batch_id", "block").agg(F.sum("n_bytes").alias("n")).agg(F.max("n")).first()[0] <= 1500
+    assert stored.groupBy("batch_id").agg(F.sum("n_bytes").alias("n")).agg(F.max("n")).first()[0] <= 5000
+    names = [f"f{i:03d}" for i in range(len(contents))]
+    want = {n: (len(c), hashlib.sha256(c).hexdigest(), zlib.crc32(c)) for n, c in zip(names, contents)}
+    for found in (A.manifest(spark, path), A.piece_digests(A.unpack_pieces(spark, path))):
+        assert sorted((r["name"], (r["n_bytes"], r["sha256"], r["crc32"])) for r in found.collect()) == sorted(want.items())
+    assert {r["name"]: bytes(r["content"]) for r in A.unpack(spark, path).collect()} == dict(zip(names, contents))
+    for i in (0, len(contents) - 2):
+        assert A.get(spark, path, names[i]) == contents[i]
+    if name in ("aligned", "tabs"):
+        shape = {r["name"]: (r["route"], r["width"], r["n_rows"]) for r in A.manifest(spark, path).collect()}
+        assert shape["f001"][1:] == (4 if name == "aligned" else 3, contents[1].count(b"\n"))
+
+
+def test_missing_piece_is_an_error(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    A.pack_files(files(spark, [station(1), station(2)]), path, max_bytes=3000, block_bytes=1500)
+    cut = A.unpack_pieces(spark, path)
+    for lost in ("start > 0 and start < 1500", "start + octet_length(content) = file_bytes"):
+        with pytest.raises(Exception, match="piece"):
+            A.piece_digests(cut.filter(f"not (name = 'f001' and {lost})")).collect()
+
+
+def test_lines_are_sorted_in_pieces(spark):
+    r = random.Random(6)
+    rows = [(f, "".join(r.choice("a,\t\xe9") for _ in range(r.randint(0, 9)))) for f in (0, 1, 3) for _ in range(500)]
+    rows += [(3, "x" * 250), (3, None)]
+    got = L.sorted_pieces(spark.createDataFrame(rows, "file_ordinal int, line string").repartition(5), 100).orderBy("file_ordinal", "piece").collect()
+    assert max(len(x["content"]) for x in got) <= 100 and len(got) > 60
+    for f in (0, 1, 3):
+        text = "".join(x + "\n" for x in sorted(x for g, x in rows if g == f and x is not None))
+        assert b"".join(bytes(x["content"]) for x in got if x["file_ordinal"] == f) == text.encode("latin-1")
+
+
+def test_wide_archive_holds_no_file(spark, tmp_path, monkeypatch):
+    """q120: files of several pieces, equal to SQL; no list or text of a whole file is made."""
+    import duckdb
+
+    from colloom.plans import catalogue, table_queries
+
+    monkeypatch.setattr(A, "BLOCK_BYTES", 4000)
+    rows = [(k // 3, k * 7 % 101, k * 5 % 13, 1 + k % 3, float(k % 50)) for k in range(3000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = table_queries.q120_wide_archive(spark, f"file://{tmp_path}")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapGroups" not in plan
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = db.execute(f"SELECT name, sha256, width FROM ({catalogue.SQL['q120_wide_archive']})").fetchall()
+    assert sorted((r["name"], r["sha256"], r["width"]) for r in df.collect()) == sorted(want)
+
+
 def test_archive_beats_best_general_coder(spark, tmp_path):
     import lzma
 
